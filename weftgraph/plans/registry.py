@@ -1,0 +1,11 @@
+"""Named queries over the test tables, each with the SQL that defines its rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+FLAGSHIP = ""
+QUERIES: dict[str, Callable[..., DataFrame]] = {}
+ORACLE: dict[str, str] = {}
