@@ -20,12 +20,12 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import SLICE_ROWS, map_rows, table
 
 #: Rows of the probe, entries of the broadcast table and of a worker's cache, and the longest pre-token kept in either.
-PROBE_ROWS = 2000
+PROBE_ROWS = 2 * SLICE_ROWS
 TABLE_ENTRIES = 32_768
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 LONGEST_CACHED = 64
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
@@ -84,13 +84,14 @@ def frequent_lengths(df: DataFrame, text: str, path: str, rows: int = PROBE_ROWS
     def probe(rows_in: dict[str, list]) -> dict[str, list]:
         seen = Counter(chain.from_iterable((t or "").encode().split() for t in rows_in["text"]))
         top = [(p, n) for p, n in seen.most_common(entries) if len(p) <= LONGEST_CACHED]
-        return {"piece": [p for p, _ in top], "n": [n for _, n in top]}
-
-    found = (
-        map_rows(df.select(F.col(text).alias("text")).limit(rows), probe, "piece binary, n bigint")
-        .groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(entries).collect()
-    )
-    pieces = [bytes(r.piece) for r in found]
+        return {"n": [len(rows_in["text"])], "piece": [[p for p, _ in top]], "count": [[n for _, n in top]]}
+
+    # One row for each slice of texts; a limit on top reads no more partitions than it needs.
+    total: Counter[bytes] = Counter()
+    for r in map_rows(df.select(F.col(text).alias("text")), probe, "n bigint, piece array<binary>, count array<bigint>").limit(max(1, rows // SLICE_ROWS)).collect():
+        for p, n in zip(r.piece, r["count"], strict=True):
+            total[bytes(p)] += n
+    pieces = [p for p, _ in total.most_common(entries)]
     return dict(zip(pieces, WordCounter(path).lengths(pieces), strict=True))
 
 
