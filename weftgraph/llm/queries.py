@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from .bpe import op5_byte_bpe
 from .classify import op8_quality, op10_language_id
 from .gif import op2_gif
+from .near_dup import op7_near_dup
 from .packing import op6_packing
 from .secrets import op9_secrets
 from .token_counts import op4_token_counts
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
+    "op7_near_dup": op7_near_dup,
     "op8_quality": op8_quality,
     "op9_secrets": op9_secrets,
     "op10_language_id": op10_language_id,
