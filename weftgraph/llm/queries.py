@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from .bpe import op5_byte_bpe
 from .classify import op8_quality, op10_language_id
 from .gif import op2_gif
+from .hilbert import op3_hilbert_neighbours
 from .near_dup import op7_near_dup
 from .packing import op6_packing
 from .secrets import op9_secrets
@@ -16,6 +17,7 @@ from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op2_gif": op2_gif,
+    "op3_hilbert_neighbours": op3_hilbert_neighbours,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
