@@ -10,12 +10,14 @@ from .bpe import op5_byte_bpe
 from .classify import op8_quality, op10_language_id
 from .gif import op2_gif
 from .hilbert import op3_hilbert_neighbours
+from .mixing import op1_context_mixing
 from .near_dup import op7_near_dup
 from .packing import op6_packing
 from .secrets import op9_secrets
 from .token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[..., DataFrame]] = {
+    "op1_context_mixing": op1_context_mixing,
     "op2_gif": op2_gif,
     "op3_hilbert_neighbours": op3_hilbert_neighbours,
     "op4_token_counts": op4_token_counts,
