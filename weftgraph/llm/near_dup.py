@@ -7,8 +7,9 @@
    signature places; a class goes on to the child named by its minwise token at
    each. Two classes of similarity 0.8 stay together along at least one path of a
    tree of LEVELS levels with probability 0.64, so TREES independent trees miss
-   a link with probability under 1e-6. Nodes of more than SMALL classes are
-   branched again, in TREES_AGAIN trees of two more levels.
+   a link with probability under 1e-5. Nodes of more than LARGE classes are
+   branched again, in TREES_AGAIN trees of two more levels, which keep a pair
+   with probability 0.93; with that, TREES trees miss it with 4e-6.
 3. Small nodes are compared exhaustively by signature; what is still large is
    compared in pairs of blocks. A node gives a spanning forest of its similar
    pairs, never all pairs; the forests' components are clusters.
@@ -38,9 +39,11 @@ from .common import map_rows, persisted, shuffle_width, table
 
 PLACES = 64  # of a signature
 TREES, LEVELS = 14, 3
-TREES_AGAIN, LEVELS_AGAIN, ROUNDS_AGAIN = 8, 2, 2
+TREES_AGAIN, LEVELS_AGAIN, ROUNDS_AGAIN = 2, 2, 2
 SECOND_PLACE = 0.25  # share of nodes that branch on a second place: 1.25 * 0.8 = 1
 SMALL = 256
+#: Nodes up to this size are compared in pairs of blocks, which copies fewer rows than branching them again would.
+LARGE = 4096
 SIGMAS = 5.0
 #: Words whose hashes a worker keeps.
 CACHE_ENTRIES = 400_000
@@ -252,9 +255,9 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: str
         sizes = sizes.groupBy("size", "members").agg(F.min("node").alias("node"))
         kept = persisted(nodes.join(sizes.select("node", "size"), "node"))
         last = round_ == ROUNDS_AGAIN
-        small = kept if last else kept.filter(F.col("size") <= SMALL)
+        small = kept if last else kept.filter(F.col("size") <= LARGE)
         leaves = small if leaves is None else leaves.unionByName(small)
-        large = kept.filter(F.col("size") > SMALL)
+        large = kept.filter(F.col("size") > LARGE)
         if last or large.isEmpty():
             break
         nodes = branched(large.join(classes.select("rep", "sig"), "rep"), TREES_AGAIN, LEVELS_AGAIN, 2 + round_)
