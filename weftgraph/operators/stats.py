@@ -96,12 +96,12 @@ def over_represented(hits: DataFrame, terms: DataFrame, universe: DataFrame, key
     base = universe.select("gene").distinct()
     own = hits.select(*k, "gene").distinct().join(base, "gene", "left_semi")
     marked = terms.select("term", "gene").distinct().join(base, "gene", "left_semi")
-    size = base.agg(F.count("*").alias("N"))
-    drawn, marks = own.groupBy(*k).agg(F.count("*").alias("n")), marked.groupBy("term").agg(F.count("*").alias("K"))
-    found = own.join(marked, "gene").groupBy(*k, "term").agg(F.count("*").alias("k"), F.array_join(F.sort_array(F.collect_list(F.col("gene").cast("string"))), "/").alias("genes"))
+    size = base.agg(F.count("*").alias("n_universe"))
+    drawn, marks = own.groupBy(*k).agg(F.count("*").alias("n_drawn")), marked.groupBy("term").agg(F.count("*").alias("n_marked"))
+    found = own.join(marked, "gene").groupBy(*k, "term").agg(F.count("*").alias("n_hit"), F.array_join(F.sort_array(F.collect_list(F.col("gene").cast("string"))), "/").alias("genes"))
     rows = found.join(F.broadcast(drawn), k).join(F.broadcast(marks), "term").crossJoin(F.broadcast(size))
-    tested = hypergeometric_tail(rows, "k", "n", "K", "N")
-    tested = tested.withColumn("gene_ratio", F.concat_ws("/", "k", "n")).withColumn("background_ratio", F.concat_ws("/", "K", "N")).withColumn("fold", (F.col("k") / F.col("n")) / (F.col("K") / F.col("N")))
+    tested = hypergeometric_tail(rows, "n_hit", "n_drawn", "n_marked", "n_universe")
+    tested = tested.withColumn("gene_ratio", F.concat_ws("/", "n_hit", "n_drawn")).withColumn("background_ratio", F.concat_ws("/", "n_marked", "n_universe")).withColumn("fold", (F.col("n_hit") / F.col("n_drawn")) / (F.col("n_marked") / F.col("n_universe")))
     return adjusted(tested, "pvalue", method=method)
 
 

@@ -5,7 +5,510 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-FLAGSHIP = ""
+from ..operators import kernels, network, paths, presence, screen, stats, tables
+from ..operators.components import connected_components
+from ..streaming import upserts
+from . import bindings as b
+
+FLAGSHIP = "hub_penalty"
 QUERIES: dict[str, Callable[..., DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name; `sql` follows the common table expressions of the binding."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = b.SQL + sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+@query("SELECT compound, condition, round(mean, 6) AS mean, present FROM presence")
+def presence_quantile(spark, d):
+    return rounded(b.present(spark, d), "mean")
+
+
+@query("SELECT compound, condition, round(mean, 6) AS mean, CAST(positive >= 5 AS INT) AS present FROM means")
+def presence_min_replicates(spark, d):
+    return rounded(presence.binarized(b.abundance(spark, d), min_replicates=5), "mean")
+
+
+@query(", ids AS (SELECT s_suppkey AS compound FROM supplier WHERE s_acctbal > 5000) SELECT compound, condition, present FROM presence UNION ALL SELECT coalesce(k.compound, i.compound), 'listed', CAST(i.compound IS NOT NULL AS INT) FROM (SELECT DISTINCT compound FROM presence) k FULL JOIN ids i ON k.compound = i.compound")
+def presence_from_list(spark, d):
+    ids = b.table(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("compound"))
+    return presence.as_condition(b.present(spark, d), "listed", ids).select("compound", "condition", "present")
+
+
+@query("SELECT condition, compound, target, round(weight, 6) AS weight FROM edges")
+def network_edges(spark, d):
+    return rounded(b.edges(spark, d), "weight")
+
+
+@query("SELECT condition, CAST(compound AS VARCHAR) AS node, 'compound' AS node_type FROM presence WHERE present = 1 UNION SELECT condition, CAST(target AS VARCHAR), 'target' FROM edges")
+def network_vertices(spark, d):
+    return network.vertices(b.present(spark, d), b.edges(spark, d))
+
+
+@query("SELECT condition, target, count(DISTINCT compound) AS degree_raw, any_value(n) AS n_compounds_total, round(count(DISTINCT compound) * ln(any_value(n) / count(DISTINCT compound)), 6) AS score_adjusted FROM edges JOIN (SELECT condition, count(*) AS n FROM presence WHERE present = 1 GROUP BY condition) USING (condition) GROUP BY condition, target")
+def hub_penalty(spark, d):
+    return rounded(network.hub_penalty(b.present(spark, d), b.edges(spark, d)), "score_adjusted")
+
+
+@query(""", d AS (SELECT condition, 'compound' AS node_type, CAST(compound AS VARCHAR) AS node, count(DISTINCT target) AS degree FROM edges GROUP BY ALL UNION ALL SELECT condition, 'target', CAST(target AS VARCHAR), count(DISTINCT compound) FROM edges GROUP BY ALL),
+s AS (SELECT condition, node_type, count(*) AS n FROM d GROUP BY ALL)
+SELECT d.condition, d.node_type, d.node, degree, round(degree / s.n, 6) AS degree_norm FROM d JOIN s ON d.condition = s.condition AND d.node_type <> s.node_type""")
+def degree_centrality(spark, d):
+    return rounded(network.degrees(b.edges(spark, d)), "degree_norm").select("condition", "node_type", "node", "degree", "degree_norm")
+
+
+@query("""SELECT a.i AS n, c.i AS m, CASE WHEN top <> 0 THEN top END AS top FROM range(1, 12) a(i), range(1, 12) c(i), LATERAL (SELECT (a.i - 1) // c.i AS s, (a.i - 1) % c.i AS t), LATERAL (SELECT 0.5::DOUBLE * (c.i * c.i * (s + 1) * (s + 1) + c.i * (s + 1) * (2 * t - s - 1) - t * (2 * s - t + 3)) AS top)""")
+def betweenness_bound(spark, d):
+    n = spark.range(1, 12).withColumnRenamed("id", "n").crossJoin(spark.range(1, 12).withColumnRenamed("id", "m"))
+    return n.withColumn("top", network.largest_betweenness(F.col("n"), F.col("m")))
+
+
+_audit = """, pairs AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS t FROM lineitem WHERE l_quantity >= 49),
+deg AS (SELECT 'compound' AS kind, CAST(c AS VARCHAR) AS id, count(*) AS degree FROM pairs GROUP BY c UNION ALL SELECT 'target', CAST(t AS VARCHAR), count(*) FROM pairs GROUP BY t),
+scored AS (SELECT kind, id, degree, CASE WHEN mad(degree) OVER w > 0 THEN (degree - median(degree) OVER w) / (1.4826 * mad(degree) OVER w) END AS mad_score FROM deg WINDOW w AS (PARTITION BY kind)),
+audited AS (SELECT *, coalesce(mad_score > 2.5, false) AS flagged FROM scored),
+sized AS (SELECT a.*, (SELECT count(*) FROM audited o WHERE o.kind <> a.kind) AS n_other FROM audited a),
+weighted AS (SELECT kind, id, degree::DOUBLE AS raw_score, CASE WHEN flagged THEN degree * ln(n_other / degree) ELSE degree END AS adjusted_score, flagged FROM sized) """
+
+
+def _audited(spark, d):
+    return screen.audit(b.table(spark, d, "lineitem").filter("l_quantity >= 49"), "l_suppkey", "l_partkey")
+
+
+@query(_audit + "SELECT kind, id, degree, round(mad_score, 6) AS mad_score, flagged FROM audited")
+def bias_audit(spark, d):
+    return rounded(_audited(spark, d), "mad_score")
+
+
+@query(_audit + "SELECT kind, id, raw_score, round(adjusted_score, 6) AS adjusted_score, flagged FROM weighted")
+def bias_reweight(spark, d):
+    return rounded(screen.reweighted(_audited(spark, d)), "adjusted_score")
+
+
+@query(_audit + "SELECT kind, id, raw_score, round(adjusted_score, 6) AS adjusted_score, flagged FROM weighted WHERE flagged")
+def bias_report(spark, d):
+    return rounded(screen.report_flagged(screen.reweighted(_audited(spark, d))), "adjusted_score")
+
+
+_flags = """, v AS (SELECT *, CAST(mw > 500 AS INT) + CAST(logp > 5 AS INT) + CAST(hbd > 5 AS INT) + CAST(hba > 10 AS INT) AS ro5_violations FROM descriptors),
+flags AS (SELECT compound, ro5_violations, ro5_violations <= 0 AS ro5_pass, tpsa <= 140 AND rotb <= 10 AS veber_pass, mw BETWEEN 160 AND 480 AND logp BETWEEN -0.4 AND 5.6 AND atoms BETWEEN 20 AND 70 AND amr BETWEEN 40 AND 130 AS ghose_pass,
+logp <= 5.88 AND tpsa <= 131.6 AS egan_pass, hbd BETWEEN 0 AND 2 AND hba BETWEEN 2 AND 9 AND rotb BETWEEN 2 AND 8 AND rings BETWEEN 1 AND 4 AS oprea_pass, round(0.16 - 0.63 * logp - 0.0062 * mw + 0.066 * rotb - 0.74 * arom, 4) AS logs,
+ro5_violations <= 0 AS route_oral, logp BETWEEN 1 AND 3 AS route_injectable, tpsa <= 250 AND logp <= 4 AS route_ophthalmic, mw <= 500 AND logp BETWEEN 1 AND 4 AS route_topical FROM v),
+long AS (SELECT compound, 'ro5' AS rule, ro5_pass AS pass FROM flags UNION ALL SELECT compound, 'veber', veber_pass FROM flags UNION ALL SELECT compound, 'ghose', ghose_pass FROM flags UNION ALL SELECT compound, 'egan', egan_pass FROM flags UNION ALL SELECT compound, 'oprea', oprea_pass FROM flags) """
+_RULES = ("ro5", "veber", "ghose", "egan", "oprea")
+
+
+def _flagged(spark, d):
+    return screen.rule_flags(b.descriptors(spark, d))
+
+
+@query(_flags + "SELECT * FROM flags")
+def rule_flags(spark, d):
+    out = rounded(_flagged(spark, d), "logs", digits=4)
+    return out.select("compound", "ro5_violations", *[f"{r}_pass" for r in _RULES], "logs", *[c for c in out.columns if c.startswith("route_")])
+
+
+@query(_flags + "SELECT compound, rule, pass FROM long")
+def rule_filter(spark, d):
+    return screen.long_rules(_flagged(spark, d), "compound", _RULES)
+
+
+@query(_flags + "SELECT compound FROM flags WHERE compound NOT IN (SELECT compound FROM long WHERE NOT pass)")
+def rule_hard_cutoff(spark, d):
+    flags = _flagged(spark, d)
+    return screen.hard_cutoff(flags, screen.long_rules(flags, "compound", _RULES), "compound").select("compound")
+
+
+@query(_flags + "SELECT CASE WHEN c IS NULL THEN '(none)' ELSE c END AS combination, count(*) AS n FROM (SELECT string_agg(rule, '|' ORDER BY rule) FILTER (WHERE pass) AS c FROM long GROUP BY compound) GROUP BY 1")
+def rule_combinations(spark, d):
+    return screen.combinations(screen.long_rules(_flagged(spark, d), "compound", _RULES), "compound")
+
+
+_CORNERS = [(1, 10.0, -0.5), (2, 120.0, 0.5), (3, 150.0, 3.0), (4, 90.0, 5.0), (5, 20.0, 3.5)]
+
+
+@query(", poly(seq, vx, vy) AS (VALUES (1, 10.0, -0.5), (2, 120.0, 0.5), (3, 150.0, 3.0), (4, 90.0, 5.0), (5, 20.0, 3.5)), side AS (SELECT a.vx::DOUBLE x1, a.vy::DOUBLE y1, c.vx::DOUBLE x2, c.vy::DOUBLE y2 FROM poly a JOIN poly c ON c.seq = a.seq % 5 + 1) SELECT compound, CAST(sum(CAST((y1 > logp) <> (y2 > logp) AND tpsa < (x2 - x1) * (logp - y1) / (y2 - y1) + x1 AS INT)) AS BIGINT) % 2 = 1 AS inside FROM descriptors, side GROUP BY compound")
+def point_in_polygon(spark, d):
+    corners = spark.createDataFrame(_CORNERS, "seq int, vx double, vy double")
+    return screen.in_polygon(b.descriptors(spark, d), corners, "tpsa", "logp").select("compound", "inside")
+
+
+@query(", t AS (SELECT p_partkey AS compound, regexp_replace(p_name || p_brand || '%12[13]', '\\[[^\\]]*\\]', '', 'g') AS s FROM part) SELECT compound, CAST((len(regexp_extract_all(s, '%\\d\\d')) + len(regexp_extract_all(regexp_replace(s, '%\\d\\d', '', 'g'), '\\d'))) // 2 AS INT) AS rings FROM t")
+def ring_count(spark, d):
+    text = F.concat("p_name", "p_brand", F.lit("%12[13]"))
+    return b.table(spark, d, "part").select(F.col("p_partkey").alias("compound"), screen.ring_count(text).alias("rings"))
+
+
+_PATTERNS = [("structural", "paired", "(?i)e.*e"), ("structural", "long", "^.{14,}"), ("toxic", "metal", "(?i)steel|brass|copper|tin|nickel"), ("toxic", "ring", "o")]
+_alerts = ", patterns(alert_set, alert_name, pattern) AS (VALUES ('structural', 'paired', '(?i)e.*e'), ('structural', 'long', '^.{14,}'), ('toxic', 'metal', '(?i)steel|brass|copper|tin|nickel'), ('toxic', 'ring', 'o')), alerts AS (SELECT p_partkey AS compound, alert_set, alert_name, pattern, regexp_matches(CASE WHEN p_partkey % 11 <> 0 THEN p_name || p_type END, pattern) AS matched FROM part, patterns) "
+
+
+def _alerted(spark, d):
+    text = b.table(spark, d, "part").select(F.col("p_partkey").alias("compound"), F.when(F.col("p_partkey") % 11 != 0, F.concat("p_name", "p_type")).alias("text"))
+    return screen.alerts(text, "compound", "text", spark.createDataFrame(_PATTERNS, "alert_set string, alert_name string, pattern string"))
+
+
+@query(_alerts + "SELECT * FROM alerts")
+def alert_scan(spark, d):
+    return _alerted(spark, d)
+
+
+@query(_alerts + """, a AS (SELECT compound, count(*) FILTER (WHERE alert_set = 'structural' AND matched) AS n_structural, coalesce(string_agg(alert_name, ', ' ORDER BY alert_name) FILTER (WHERE alert_set = 'structural' AND matched), '') AS structural_names, count(*) FILTER (WHERE alert_set = 'toxic' AND matched) AS n_toxic, coalesce(string_agg(alert_name, ', ' ORDER BY alert_name) FILTER (WHERE alert_set = 'toxic' AND matched), '') AS toxic_names FROM alerts GROUP BY compound),
+p AS (SELECT l_partkey AS compound, count(DISTINCT l_shipmode) AS n FROM (SELECT l_partkey, l_returnflag AS l_shipmode FROM lineitem WHERE l_quantity >= 50) GROUP BY 1),
+i AS (SELECT p_partkey AS compound, 2 AS n, 'brand=' || p_brand || '; size=' || p_size AS t FROM part WHERE p_size < 20)
+SELECT coalesce(a.compound, p.compound, i.compound) AS compound, coalesce(n_structural, 0) AS n_structural, coalesce(structural_names, '') AS structural_names, coalesce(n_toxic, 0) AS n_toxic, coalesce(toxic_names, '') AS toxic_names, coalesce(p.n, 0) AS n_organs, coalesce(i.n, 0) AS n_imported, coalesce(i.t, '') AS imported FROM a FULL JOIN p ON a.compound = p.compound FULL JOIN i ON coalesce(a.compound, p.compound) = i.compound""")
+def alert_report(spark, d):
+    panel = b.table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("compound"), F.col("l_returnflag").alias("organ"))
+    long = tables.imported(b.table(spark, d, "part").filter("p_size < 20").withColumnRenamed("p_partkey", "compound"), "compound", {"brand": "P-Brand", "size": "p_size"}, "file", "2024-01-01")
+    return screen.alert_report(_alerted(spark, d), "compound", ["structural", "toxic"], panel, long)
+
+
+@query("SELECT p_partkey AS compound, property, value, 'platform' AS source, DATE '2024-01-31' AS import_date FROM (UNPIVOT (SELECT p_partkey, CAST(p_brand AS VARCHAR) AS brand, CAST(p_size AS VARCHAR) AS size, CAST(p_type AS VARCHAR) AS kind FROM part) ON brand, size, kind INTO NAME property VALUE value)")
+def import_unpivot(spark, d):
+    part = b.table(spark, d, "part").withColumnRenamed("p_partkey", "compound")
+    return tables.imported(part, "compound", {"brand": "P.Brand", "size": "P_SIZE", "kind": "p_type"}, "platform", "2024-01-31")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.04 THEN round(l_tax, 6) ELSE round(l_tax * 100 / 100, 6) END / CASE WHEN l_tax > 0.04 THEN 100 ELSE 1 END AS share FROM (SELECT *, l_tax FROM lineitem WHERE l_quantity >= 50)")
+def percent_parse(spark, d):
+    li = b.table(spark, d, "lineitem").filter("l_quantity >= 50")
+    text = F.when(F.col("l_tax") > 0.04, F.concat(F.col("l_tax").cast("string"), F.lit(" %"))).otherwise((F.col("l_tax") * 100).cast("string"))
+    return tables.percentages(li.withColumn("text", text), "text", "share").select("l_orderkey", "l_linenumber", "share")
+
+
+@query("SELECT s_suppkey AS compound, CASE WHEN s_nationkey % 5 <> 0 THEN round(s_suppkey / (s_nationkey % 5), 6) END AS ratio FROM supplier")
+def ratio_parse(spark, d):
+    s = b.table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("compound"), F.round(tables.ratio(F.concat_ws("/", "s_suppkey", F.col("s_nationkey") % 5)), 6).alias("ratio"))
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1) ON c_custkey = o_custkey")
+def first_match(spark, d):
+    o = b.table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return tables.first_match(b.table(spark, d, "customer"), o, "c_custkey", [F.col("o_orderdate"), F.col("o_orderkey")]).select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, 'C' || lpad(CAST(41 + row_number() OVER (ORDER BY p_partkey) AS VARCHAR), CAST(greatest(4, length(CAST(41 + row_number() OVER (ORDER BY p_partkey) AS VARCHAR))) AS INT), '0') AS id FROM part WHERE p_size > 25")
+def assigned_ids(spark, d):
+    return tables.assigned_ids(b.table(spark, d, "part").filter("p_size > 25").select("p_partkey"), "p_partkey", 41)
+
+
+@query("SELECT p_partkey, p_name FROM (SELECT * FROM part WHERE p_size > 15 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1) WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 15)")
+def structure_dedup(spark, d):
+    p = b.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    return tables.deduplicated(p.filter("p_size > 15"), p.filter("p_size <= 15"), "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) AS row_order, p_partkey, p_name, smiles FROM (SELECT p_partkey, p_name, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN p_type END AS smiles FROM part) WHERE smiles IS NOT NULL")
+def export_structures(spark, d):
+    p = b.table(spark, d, "part").withColumn("canonical", F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(" ")).withColumn("raw", F.when(F.col("p_size") % 3 == 1, F.col("p_type")))
+    return tables.exported_smiles(p, "p_partkey", "p_name", "canonical", "raw")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, NULL::VARCHAR AS note FROM orders WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, o_custkey, o_totalprice + 1, 'new' FROM orders WHERE o_orderstatus = 'F'")
+def upsert_by_key(spark, d):
+    o = b.table(spark, d, "orders")
+    old = o.select("o_orderkey", "o_custkey", "o_totalprice")
+    new = o.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.lit("new").alias("note"))
+    return tables.upserted(old, new, ["o_orderkey"], touched=o.filter("o_orderstatus <> 'O'").select("o_orderkey"))
+
+
+@query("SELECT condition, compound, target, round(weight, 6) AS weight, (SELECT count(*) FROM part WHERE p_size <= 20) AS n_proteome, 'small' AS proteome_label FROM edges WHERE target IN (SELECT p_partkey FROM part WHERE p_size <= 20)")
+def proteome_filter(spark, d):
+    listed = b.table(spark, d, "part").filter("p_size <= 20").select(F.col("p_partkey").alias("target"))
+    return rounded(tables.proteome_filtered(b.edges(spark, d), "target", listed, "small"), "weight").select("condition", "compound", "target", "weight", "n_proteome", "proteome_label")
+
+
+@query("SELECT target, disease, round(score, 6) AS score, rank FROM (SELECT target, disease, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, disease) AS rank FROM (SELECT l_partkey AS target, p.p_type AS disease, max(l_extendedprice / 100000) AS score FROM lineitem JOIN part p ON p.p_partkey = (l_suppkey % 50) + 1 GROUP BY ALL)) WHERE rank <= 3")
+def disease_profile(spark, d):
+    li, p = b.table(spark, d, "lineitem"), b.table(spark, d, "part")
+    pairs = li.join(p, F.col("p_partkey") == (F.col("l_suppkey") % 50) + 1).groupBy(F.col("l_partkey").alias("target"), F.col("p_type").alias("disease")).agg(F.max(F.col("l_extendedprice") / 100000).alias("score"))
+    return rounded(tables.first_of_group(pairs, ["target"], [F.desc_nulls_last("score"), F.col("disease")], 3, rank="rank"), "score")
+
+
+@query("SELECT DISTINCT compound, target, p_type AS disease, round(p_retailprice / 2500, 6) AS score FROM targets JOIN part ON target = p_partkey WHERE p_retailprice / 2500 >= 0.5")
+def disease_filter(spark, d):
+    hit = b.targets(spark, d).join(b.diseases(spark, d).filter("score >= 0.5"), "target")
+    return rounded(hit.select("compound", "target", "disease", "score").distinct(), "score")
+
+
+_CLASSES = {"Licence": "licen[cs]ed|copyright", "Contact": "@|example\\.com", "Markup": "\\|", "Emphasis": "!!", "English": "\\bthe\\b"}
+
+
+@query(None)
+def text_classes(spark, d):
+    return screen.classified(b.table(spark, d, "documents"), "text", _CLASSES).select("doc_id", "class")
+
+
+ORACLE["text_classes"] = r"""SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'Other' WHEN regexp_matches(text, '(?i)licen[cs]ed|copyright') THEN 'Licence' WHEN regexp_matches(text, '(?i)@|example\.com') THEN 'Contact' WHEN regexp_matches(text, '(?i)\|') THEN 'Markup' WHEN regexp_matches(text, '(?i)!!') THEN 'Emphasis' WHEN regexp_matches(text, '(?i)\bthe\b') THEN 'English' ELSE 'Other' END AS class FROM documents"""
+
+
+@query("""SELECT s.*, coalesce(n_hit, 0) AS n_hit, n_genes, round(coalesce(n_hit, 0) / n_genes, 6) AS coverage FROM (SELECT condition, round(avg(z), 6) AS mean_z, round(median(z), 6) AS median_z, round(stddev_samp(z), 6) AS sd_z, round(min(z), 6) AS best_z, count(DISTINCT compound) AS n_compounds FROM zscores WHERE z IS NOT NULL GROUP BY condition) s
+LEFT JOIN (SELECT condition, count(DISTINCT target) AS n_hit FROM edges WHERE target IN (SELECT p_partkey FROM part WHERE p_type LIKE 'S%') GROUP BY condition) USING (condition), (SELECT count(*) AS n_genes FROM part WHERE p_type LIKE 'S%')""")
+def condition_compare(spark, d):
+    genes = b.table(spark, d, "part").filter("p_type like 'S%'").select(F.col("p_partkey").alias("target"))
+    return rounded(network.compared(b.zscores(spark, d), b.edges(spark, d), genes), "mean_z", "median_z", "sd_z", "best_z", "coverage")
+
+
+@query(None)
+def condition_permutation(spark, d):
+    return rounded(stats.permutation_test(b.zscores(spark, d), "condition", "compound", "z", 200, 7), "observed")
+
+
+@query("SELECT combination, count(*) AS n FROM (SELECT target, concat(max(CAST(condition = 'A' AS INT)), max(CAST(condition = 'N' AS INT)), max(CAST(condition = 'R' AS INT))) AS combination FROM edges GROUP BY target) GROUP BY combination")
+def upset_intersections(spark, d):
+    return network.upset(b.edges(spark, d), "condition", "target", ["A", "N", "R"])
+
+
+@query("SELECT count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE r) AS n_b, count(*) FILTER (WHERE a AND r) AS n_both, count(*) FILTER (WHERE a OR r) AS n_union FROM (SELECT bool_or(condition = 'A') AS a, bool_or(condition = 'R') AS r FROM edges GROUP BY target)")
+def venn_overlap(spark, d):
+    return network.venn(b.edges(spark, d), "condition", "target", "A", "R")
+
+
+_layers = """, layers AS (SELECT DISTINCT condition, CAST(compound AS VARCHAR) AS source, CAST(target AS VARCHAR) AS sink, 'compound' AS source_layer, 'target' AS sink_layer, 'compound_target' AS edge_kind FROM edges
+UNION SELECT condition, CAST(target AS VARCHAR), p_brand, 'target', 'pathway', 'target_pathway' FROM edges JOIN part ON target = p_partkey
+UNION SELECT condition, CAST(compound AS VARCHAR), p_brand, 'compound', 'pathway', 'compound_pathway' FROM edges JOIN part ON target = p_partkey) """
+
+
+@query(_layers + "SELECT * FROM layers")
+def layered_network(spark, d):
+    return network.layered(b.edges(spark, d), {"pathway": b.brands(spark, d)})
+
+
+_motifs = """, te AS (SELECT DISTINCT event_type, u, v FROM transitions),
+paths AS (SELECT x.event_type, x.u AS a, x.v AS b, y.v AS c FROM te x JOIN te y ON x.event_type = y.event_type AND x.v = y.u WHERE x.u <> y.v),
+motifs AS (SELECT p.event_type, 'feed_forward' AS motif_type, a AS node_a, b AS node_b, c AS node_c FROM paths p SEMI JOIN te ON p.event_type = te.event_type AND a = u AND c = v UNION ALL SELECT p.event_type, 'feedback', a, b, c FROM paths p SEMI JOIN te ON p.event_type = te.event_type AND c = u AND a = v) """
+
+
+def _motifs_of(spark, d):
+    return network.motifs(b.transitions(spark, d), ["event_type"], "u", "v")
+
+
+@query(_motifs + "SELECT * FROM motifs")
+def network_motifs(spark, d):
+    return _motifs_of(spark, d)
+
+
+@query(_motifs + "SELECT event_type, motif_type, count(*) AS n FROM motifs WHERE motif_type = 'feed_forward' OR node_a = least(node_a, node_b, node_c) GROUP BY ALL")
+def motif_counts(spark, d):
+    return network.distinct_cycles(_motifs_of(spark, d), ["event_type"])
+
+
+_jac = """, sz AS (SELECT condition, compound, count(DISTINCT target) AS n FROM edges GROUP BY ALL), sh AS (SELECT x.condition, x.compound AS a, y.compound AS b, count(*) AS shared FROM edges x JOIN edges y ON x.condition = y.condition AND x.target = y.target AND x.compound < y.compound GROUP BY ALL),
+jac AS (SELECT sh.*, p.n AS n_a, q.n AS n_b, shared / (p.n + q.n - shared) AS jaccard FROM sh JOIN sz p ON p.condition = sh.condition AND p.compound = a JOIN sz q ON q.condition = sh.condition AND q.compound = b) """
+
+
+@query(_jac + "SELECT condition, a, b, shared, n_a, n_b, round(jaccard, 6) AS jaccard FROM jac")
+def target_jaccard(spark, d):
+    return rounded(network.pair_jaccard(b.edges(spark, d), ["condition"], "compound", "target"), "jaccard")
+
+
+@query(", bits AS (SELECT vec_id, list_filter(list_zip(embedding, range(len(embedding))), lambda p: p[1] > 0) AS l FROM embeddings), f AS (SELECT vec_id, unnest(list_transform(l, lambda p: p[2])) AS bit, len(l) AS n FROM bits) SELECT x.vec_id AS a, y.vec_id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS similarity FROM f x JOIN f y ON x.bit = y.bit AND x.vec_id < y.vec_id GROUP BY ALL")
+def fingerprint_similarity(spark, d):
+    bits = b.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("bit", "x")).filter("x > 0")
+    out = network.pair_jaccard(bits, [], "vec_id", "bit").select("a", "b", F.col("jaccard").alias("similarity"))
+    return rounded(out, "similarity")
+
+
+_enrich = """, universe AS (SELECT DISTINCT target AS gene FROM targets), own AS (SELECT DISTINCT condition, target AS gene FROM edges), marked AS (SELECT DISTINCT p_brand AS term, p_partkey AS gene FROM part SEMI JOIN universe ON gene = p_partkey),
+cnt AS (SELECT o.condition, m.term, count(*) AS k, string_agg(CAST(o.gene AS VARCHAR), '/' ORDER BY CAST(o.gene AS VARCHAR)) AS genes FROM own o JOIN marked m USING (gene) GROUP BY ALL),
+full_ AS (SELECT c.*, (SELECT count(*) FROM own o WHERE o.condition = c.condition) AS n, (SELECT count(*) FROM marked m WHERE m.term = c.term) AS K2, (SELECT count(*) FROM universe) AS N2 FROM cnt c),
+tested AS (SELECT *, (SELECT sum(exp(lgamma(K2 + 1) - lgamma(j + 1) - lgamma(K2 - j + 1) + lgamma(N2 - K2 + 1) - lgamma(n - j + 1) - lgamma(N2 - K2 - n + j + 1) - lgamma(N2 + 1) + lgamma(n + 1) + lgamma(N2 - n + 1))) FROM range(k, least(n, K2) + 1) t(j) WHERE n - j <= N2 - K2) AS pvalue FROM full_),
+ranked AS (SELECT *, row_number() OVER (ORDER BY pvalue) AS r, count(*) OVER () AS m FROM tested),
+adj AS (SELECT *, least(1, min(m * pvalue / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_adjusted FROM ranked) """
+
+
+def _enriched(spark, d):
+    own = b.edges(spark, d).select("condition", F.col("target").alias("gene"))
+    terms = b.brands(spark, d).select(F.col("name").alias("term"), F.col("target").alias("gene"))
+    return stats.over_represented(own, terms, b.targets(spark, d).select(F.col("target").alias("gene")))
+
+
+@query(_enrich + "SELECT condition, term, k, n, genes, round(pvalue, 6) AS pvalue, round(p_adjusted, 5) AS p_adjusted, k || '/' || n AS gene_ratio, K2 || '/' || N2 AS background_ratio, round((k / n) / (K2 / N2), 6) AS fold FROM adj")
+def enrichment(spark, d):
+    out = rounded(rounded(_enriched(spark, d), "pvalue", "fold"), "p_adjusted", digits=5)
+    return out.select("condition", "term", F.col("n_hit").alias("k"), F.col("n_drawn").alias("n"), "genes", "pvalue", "p_adjusted", "gene_ratio", "background_ratio", "fold")
+
+
+@query(_enrich + "SELECT condition, term, rank FROM (SELECT condition, term, row_number() OVER (PARTITION BY condition ORDER BY round(pvalue, 9), term) AS rank FROM tested) WHERE rank <= 5")
+def enrichment_top(spark, d):
+    rows = _enriched(spark, d).withColumn("p", F.round("pvalue", 9))
+    return tables.first_of_group(rows, ["condition"], [F.col("p"), F.col("term")], 5, rank="rank").select("condition", "term", "rank")
+
+
+_ps = ", p AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN (o_totalprice % 1000) / 1000 END AS p FROM orders), r AS (SELECT *, row_number() OVER (ORDER BY p) AS r, rank() OVER (ORDER BY p) AS f, count(*) OVER () AS m FROM p WHERE p IS NOT NULL) "
+
+
+def _pvalues(spark, d):
+    o = b.table(spark, d, "orders")
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 9 != 0, (F.col("o_totalprice") % 1000) / 1000).alias("p"))
+
+
+@query(_ps + "SELECT o_orderkey, round(q, 6) AS q FROM p LEFT JOIN (SELECT o_orderkey, least(1, min(m * p / r) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r) USING (o_orderkey)")
+def adjust_bh(spark, d):
+    return rounded(stats.adjusted(_pvalues(spark, d), "p", "q"), "q").select("o_orderkey", "q")
+
+
+@query(_ps + "SELECT o_orderkey, round(q, 6) AS q FROM p LEFT JOIN (SELECT o_orderkey, least(1, max((m - f + 1) * p) OVER (ORDER BY p)) AS q FROM r) USING (o_orderkey)")
+def adjust_holm(spark, d):
+    return rounded(stats.adjusted(_pvalues(spark, d), "p", "q", "holm"), "q").select("o_orderkey", "q")
+
+
+@query(_ps + "SELECT o_orderkey, round(CASE WHEN p IS NOT NULL THEN least(1, p * (SELECT count(p) FROM p)) END, 6) AS q FROM p")
+def adjust_bonferroni(spark, d):
+    return rounded(stats.adjusted(_pvalues(spark, d), "p", "q", "bonferroni"), "q").select("o_orderkey", "q")
+
+
+_rank = """, c AS (SELECT s_suppkey AS compound, s_acctbal AS c1, CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey % 10 END AS c2 FROM supplier), k AS (SELECT compound, c1, c2,
+CASE WHEN c1 IS NULL THEN count(*) OVER () ELSE rank() OVER (ORDER BY c1 DESC NULLS LAST) + (count(*) OVER (PARTITION BY c1) - 1) / 2 END AS r1, CASE WHEN c2 IS NULL THEN count(*) OVER () ELSE rank() OVER (ORDER BY c2 DESC NULLS LAST) + (count(*) OVER (PARTITION BY c2) - 1) / 2 END AS r2, count(*) OVER () AS n FROM c),
+s AS (SELECT *, least(r1 / n, r2 / n) AS lo, greatest(r1 / n, r2 / n) AS hi FROM k), rra AS (SELECT compound, r1, r2, least(1, 2 * least(2 * lo * (1 - lo) + lo * lo, hi * hi)) AS rra_score, (r1 + r2) / 2 AS mean_rank FROM s) """
+
+
+def _criteria(spark, d):
+    s = b.table(spark, d, "supplier")
+    return s.select(F.col("s_suppkey").alias("compound"), F.col("s_acctbal").alias("c1"), F.when(F.col("s_suppkey") % 6 != 0, F.col("s_suppkey") % 10).alias("c2"))
+
+
+@query(_rank + "SELECT compound, r1, r2, round(rra_score, 6) AS rra_score FROM rra")
+def rank_aggregation(spark, d):
+    rows = stats.average_ranks(stats.average_ranks(_criteria(spark, d), "c1", "r1"), "c2", "r2")
+    n = rows.agg(F.count("*").alias("n"))
+    share = rows.crossJoin(F.broadcast(n)).withColumn("s1", F.col("r1") / F.col("n")).withColumn("s2", F.col("r2") / F.col("n"))
+    return rounded(stats.robust_rank(share, ["s1", "s2"]), "rra_score").select("compound", "r1", "r2", "rra_score")
+
+
+@query("""SELECT s_suppkey AS compound, 1 AS pareto_front FROM supplier x WHERE NOT EXISTS (SELECT 1 FROM supplier y WHERE y.s_acctbal >= x.s_acctbal AND y.s_nationkey >= x.s_nationkey AND (y.s_acctbal > x.s_acctbal OR y.s_nationkey > x.s_nationkey))""")
+def pareto_first(spark, d):
+    s = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("compound"), F.col("s_acctbal").alias("c1"), F.col("s_nationkey").cast("double").alias("c2"))
+    return stats.pareto_fronts(s, "compound", ["c1", "c2"], most=1).select("compound", "pareto_front")
+
+
+@query("SELECT * FROM (SELECT compound, target, max(weight) AS weight FROM edges GROUP BY ALL) WHERE false UNION ALL SELECT g.compound, t.target, round(coalesce(max(e.weight), 0), 6) FROM (SELECT DISTINCT compound FROM edges) g CROSS JOIN (SELECT target FROM edges GROUP BY target ORDER BY count(DISTINCT compound) DESC, max(weight) DESC NULLS LAST, target LIMIT 10) t LEFT JOIN edges e ON e.compound = g.compound AND e.target = t.target GROUP BY ALL")
+def weight_heatmap(spark, d):
+    return rounded(network.heatmap(b.edges(spark, d), 10), "weight")
+
+
+@query(", deg AS (SELECT target, count(DISTINCT compound) AS k FROM edges GROUP BY target) SELECT coalesce(min(k), greatest(2, (SELECT max(k) FROM deg))) AS k FROM (SELECT i AS k FROM range(2, (SELECT max(k) + 1 FROM deg)) t(i) WHERE (SELECT count(*) FROM deg WHERE deg.k >= i) <= 30)")
+def adaptive_sharing(spark, d):
+    return network.sharing_cut(b.edges(spark, d), 30)
+
+
+@query(", m AS (SELECT condition, compound, n_name AS g FROM presence JOIN supplier ON compound = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE present = 1), s AS (SELECT g, count(DISTINCT compound) AS size FROM m GROUP BY g) SELECT condition, CASE WHEN size < 4 THEN 'other' ELSE g END AS flow, count(DISTINCT compound) AS n FROM m JOIN s USING (g) GROUP BY ALL")
+def condition_flow(spark, d):
+    s, n = b.table(spark, d, "supplier"), b.table(spark, d, "nation")
+    m = b.present(spark, d).filter("present = 1").join(s, F.col("compound") == F.col("s_suppkey")).join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    return network.condition_flow(m, "n_name", 4)
+
+
+@query("SELECT u AS a, v AS b, score FROM interactions WHERE u IN (SELECT target FROM edges) AND v IN (SELECT target FROM edges)")
+def target_chord(spark, d):
+    return network.chord(b.edges(spark, d), b.interactions(spark, d))
+
+
+@query(", t AS (SELECT DISTINCT l_suppkey AS term, l_partkey % 40 AS gene FROM lineitem WHERE l_quantity >= 48), s AS (SELECT term, count(*) AS n FROM t GROUP BY term), h AS (SELECT x.term AS a, y.term AS b, count(*) AS shared FROM t x JOIN t y ON x.gene = y.gene AND x.term < y.term GROUP BY ALL) SELECT a, b, shared, round(shared / (p.n + q.n - shared), 6) AS jaccard FROM h JOIN s p ON p.term = a JOIN s q ON q.term = b WHERE shared / (p.n + q.n - shared) >= 0.4")
+def term_network(spark, d):
+    t = b.table(spark, d, "lineitem").filter("l_quantity >= 48").select(F.col("l_suppkey").alias("term"), (F.col("l_partkey") % 40).alias("gene"))
+    return rounded(network.term_overlap(t, 0.4), "jaccard").select("a", "b", "shared", "jaccard")
+
+
+@query(None)
+def components(spark, d):
+    return connected_components(b.interactions(spark, d)).select("node", "component")
+
+
+ORACLE["components"] = "WITH RECURSIVE " + b.SQL.strip().removeprefix("WITH") + ", e AS (SELECT u, v FROM interactions UNION SELECT v, u FROM interactions), cc AS (SELECT u AS node, u AS c FROM e UNION SELECT e.v, cc.c FROM cc JOIN e ON cc.node = e.u) SELECT node, min(c) AS component FROM cc GROUP BY node"
+
+
+@query(None)
+def hop_distances(spark, d):
+    starts = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8)], "source bigint")
+    return paths.hops(paths.both_ways(b.interactions(spark, d)), starts, 4)
+
+
+ORACLE["hop_distances"] = "WITH RECURSIVE " + b.SQL.strip().removeprefix("WITH") + ", e AS (SELECT u, v FROM interactions UNION SELECT v, u FROM interactions), w AS (SELECT s AS source, s AS node, 0 AS hops FROM (VALUES (1::BIGINT), (2), (3), (5), (8)) t(s) UNION SELECT w.source, e.v, w.hops + 1 FROM w JOIN e ON w.node = e.u WHERE w.hops < 4) SELECT source, node, min(hops) AS hops FROM w GROUP BY ALL"
+
+
+@query(None)
+def bow_tie(spark, d):
+    return paths.bow_tie(b.transitions(spark, d).filter("event_type = 'purchase'").select("u", "v"))
+
+
+@query(None)
+def network_separation(spark, d):
+    sets = b.edges(spark, d).filter("condition = 'A'").select(F.col("compound").alias("name"), F.col("target").alias("node"))
+    net = paths.both_ways(b.interactions(spark, d))
+    inside = sets.join(net.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
+    far = paths.hops(net, inside.select(F.col("node").alias("source")), 6)
+    return rounded(paths.separation(far, inside), "d_aa", "d_bb", "d_ab", "separation")
+
+
+@query(None)
+def network_proximity(spark, d):
+    sets = b.edges(spark, d).filter("condition = 'A'").select(F.col("compound").alias("name"), F.col("target").alias("node"))
+    goal = b.diseases(spark, d).filter("disease like 'S%'").select(F.col("target").alias("node"))
+    return rounded(paths.proximity(b.interactions(spark, d), sets, goal, n_random=50), "d_observed", "d_random_mean", "d_random_sd", "z_score")
+
+
+@query(None)
+def network_routes(spark, d):
+    e = b.transitions(spark, d).filter("event_type = 'purchase'").groupBy("u", "v").agg(F.lit(1).alias("sign"))
+    starts, ends = spark.createDataFrame([(4,), (8,)], "node bigint"), spark.createDataFrame([(12,), (20,)], "node bigint")
+    return paths.shortest_routes(e, starts, ends, 4).select("start", "end", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "sign")
+
+
+def _networks(spark, d):
+    return b.edges(spark, d).filter("weight >= 0.99").select("condition", F.concat(F.lit("c"), "compound").alias("u"), F.concat(F.lit("t"), "target").alias("v"))
+
+
+@query(None)
+def centrality(spark, d):
+    return rounded(kernels.centrality(_networks(spark, d), ["condition"]), "betweenness", "hub_score", "hub_score_component")
+
+
+@query(None)
+def module_robustness(spark, d):
+    return rounded(kernels.module_robustness(_networks(spark, d), ["condition"]), "r_index", "r_index_random", "modularity")
+
+
+@query(None)
+def robustness_curve(spark, d):
+    return rounded(kernels.robustness_curve(_networks(spark, d), ["condition"]), "largest_component_fraction")
+
+
+@query(None)
+def descriptor_axes(spark, d):
+    return rounded(kernels.principal_axes(b.descriptors(spark, d), "compound", ["mw", "logp", "tpsa", "rotb", "atoms", "amr"]), "pc1", "pc2")
+
+
+@query(", x AS (SELECT s_suppkey AS compound, (s_acctbal - min(s_acctbal) OVER ()) / (max(s_acctbal) OVER () - min(s_acctbal) OVER ()) AS a, (s_nationkey - min(s_nationkey) OVER ()) / (max(s_nationkey) OVER () - min(s_nationkey) OVER ()) AS c FROM supplier), p AS (SELECT x.compound, sqrt((x.a - y.a) * (x.a - y.a) + (x.c - y.c) * (x.c - y.c)) AS d, y.compound AS o FROM x JOIN x y ON x.compound <> y.compound) SELECT compound, round(avg(d), 6) AS isolation FROM (SELECT *, row_number() OVER (PARTITION BY compound ORDER BY d, o) AS r FROM p) WHERE r <= 3 GROUP BY compound")
+def isolation(spark, d):
+    s = b.table(spark, d, "supplier").select(F.col("s_suppkey").alias("compound"), "s_acctbal", F.col("s_nationkey").cast("double").alias("s_nationkey"))
+    return rounded(stats.isolation(s, "compound", ["s_acctbal", "s_nationkey"]), "isolation")
+
+
+@query("SELECT a.compound AS a, c.compound AS b, CASE WHEN sep IS NULL OR np IS NULL THEN NULL WHEN NOT sep AND np = 2 THEN 'P1' WHEN sep AND np = 2 THEN 'P2' WHEN NOT sep AND np = 1 THEN 'P3' WHEN sep AND np = 1 THEN 'P4' WHEN NOT sep THEN 'P5' ELSE 'P6' END AS class FROM (SELECT * FROM zscores WHERE condition = 'A') a JOIN (SELECT * FROM zscores WHERE condition = 'A') c ON a.compound < c.compound, LATERAL (SELECT CASE WHEN (a.compound + c.compound) % 5 <> 0 THEN (a.compound + c.compound) % 2 = 0 END AS sep, CAST(a.z < 0 AS INT) + CAST(c.z < 0 AS INT) AS np)")
+def synergy_classes(spark, d):
+    z = b.zscores(spark, d).filter("condition = 'A'")
+    x, y = z.select(F.col("compound").alias("a"), F.col("z").alias("za")), z.select(F.col("compound").alias("b"), F.col("z").alias("zb"))
+    pairs = x.join(y, F.col("a") < F.col("b"))
+    both = F.col("a") + F.col("b")
+    near = network.proximal(F.col("za"), F.lit(None)).cast("int") + network.proximal(F.col("zb"), F.lit(None)).cast("int")
+    return pairs.select("a", "b", network.synergy_class(F.when(both % 5 != 0, both % 2 == 0), near).alias("class"))
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def windowed_events(spark, d):
+    return rounded(upserts.windowed_counts(b.table(spark, d, "events"), "ts", "event_type"), "mean_value")
