@@ -183,12 +183,11 @@ def pareto_fronts(df: DataFrame, id_col: str, criteria: Sequence[str], most: int
     for front in range(1, most + 1):
         if left.isEmpty():
             break
-        a, b = left.alias("a"), left.alias("b")
-        over = F.lit(True)
-        more = F.lit(False)
+        rival = left.select(*[F.col(c).alias(f"o{c}") for c in cs])
+        over, more = F.lit(True), F.lit(False)
         for c in cs:
-            over, more = over & (F.col(f"b.{c}") >= F.col(f"a.{c}")), more | (F.col(f"b.{c}") > F.col(f"a.{c}"))
-        best = checkpointed(a.join(b, over & more, "left_anti").withColumn("pareto_front", F.lit(front)))
+            over, more = over & (F.col(f"o{c}") >= F.col(c)), more | (F.col(f"o{c}") > F.col(c))
+        best = checkpointed(left.join(rival, over & more, "left_anti").select(*[F.col(c).alias(c) for c in cs], F.lit(front).alias("pareto_front")))
         done = best if done is None else done.unionByName(best)
         left = checkpointed(left.join(best.select(*cs), cs, "left_anti"))
     return filled.join(done, cs).select(*df.columns, "pareto_front") if done is not None else df.withColumn("pareto_front", F.lit(None).cast("int"))
