@@ -10,7 +10,7 @@
    a link with probability under 1e-5. Nodes of more than LARGE classes are
    branched again, in TREES_AGAIN trees of two more levels, which keep a pair
    with probability 0.93; with that, TREES trees miss it with 4e-6.
-3. Small nodes are compared exhaustively by signature; what is still large is
+3. Small nodes are compared exhaustively by signature; larger ones are
    compared in pairs of blocks. A node gives a spanning forest of its similar
    pairs, never all pairs; the forests' components are clusters.
 4. Each class's full set goes to its cluster once (in pairs of blocks, if the
@@ -41,7 +41,8 @@ PLACES = 64  # of a signature
 TREES, LEVELS = 14, 3
 TREES_AGAIN, LEVELS_AGAIN, ROUNDS_AGAIN = 2, 2, 2
 SECOND_PLACE = 0.25  # share of nodes that branch on a second place: 1.25 * 0.8 = 1
-SMALL = 256
+#: Classes compared at once in a node, by signature, and in a cluster, by full sets.
+IN_NODE, IN_CLUSTER = 512, 256
 #: Nodes up to this size are compared in pairs of blocks, which copies fewer rows than branching them again would.
 LARGE = 4096
 SIGMAS = 5.0
@@ -187,9 +188,28 @@ def node_forests(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
                     if pairs := forest(ok[g]):
                         out.append(rep[rows[g][np.array(pairs)]])
     found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
+    found = spanning(found)
     return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
 
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """Edges enough to keep the components of a few edges."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    kept = []
+    for n, (u, v) in enumerate(edges.tolist()):
+        a, b = find(u), find(v)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            kept.append(n)
+    return edges[kept]
+
+
 def exact_similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """The symmetric matrix of links between full sets."""
     m, n = len(sets), np.array([len(s) for s in sets])
@@ -261,7 +281,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: str
         if last or large.isEmpty():
             break
         nodes = branched(large.join(classes.select("rep", "sig"), "rep"), TREES_AGAIN, LEVELS_AGAIN, 2 + round_)
-    rows = in_blocks(leaves, "node", "size", SMALL).join(low_bytes(classes), "rep")
+    rows = in_blocks(leaves, "node", "size", IN_NODE).join(low_bytes(classes), "rep")
     forests = grouped(rows, ["node", "i", "j"], 20_000, leaves.count()).applyInPandas(lambda pdf: node_forests(pdf, percent), "u bigint, v bigint")
     clusters = connected_components(forests).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     clusters = persisted(clusters)
@@ -271,7 +291,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: str
         return {"rep": part["rep"], "shingles": [s.tobytes() for s in shingles(part["text"], k)]}
 
     texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text")).filter("text is not null").join(clusters.select("rep"), "rep", "left_semi")
-    full = in_blocks(sized, "cluster", "size", SMALL).join(map_rows(texts, sets, "rep bigint, shingles binary"), "rep")
+    full = in_blocks(sized, "cluster", "size", IN_CLUSTER).join(map_rows(texts, sets, "rep bigint, shingles binary"), "rep")
     return grouped(full, ["cluster", "i", "j"], 2_000, clusters.count()).applyInPandas(lambda pdf: cluster_forests(pdf, percent), "u bigint, v bigint")
 
 
