@@ -105,7 +105,7 @@ def bias_report(spark, d):
 
 _flags = """, v AS (SELECT *, CAST(mw > 500 AS INT) + CAST(logp > 5 AS INT) + CAST(hbd > 5 AS INT) + CAST(hba > 10 AS INT) AS ro5_violations FROM descriptors),
 flags AS (SELECT compound, ro5_violations, ro5_violations <= 0 AS ro5_pass, tpsa <= 140 AND rotb <= 10 AS veber_pass, mw BETWEEN 160 AND 480 AND logp BETWEEN -0.4 AND 5.6 AND atoms BETWEEN 20 AND 70 AND amr BETWEEN 40 AND 130 AS ghose_pass,
-logp <= 5.88 AND tpsa <= 131.6 AS egan_pass, hbd BETWEEN 0 AND 2 AND hba BETWEEN 2 AND 9 AND rotb BETWEEN 2 AND 8 AND rings BETWEEN 1 AND 4 AS oprea_pass, round(0.16 - 0.63 * logp - 0.0062 * mw + 0.066 * rotb - 0.74 * arom, 4) AS logs,
+logp <= 5.88 AND tpsa <= 131.6 AS egan_pass, hbd BETWEEN 0 AND 2 AND hba BETWEEN 2 AND 9 AND rotb BETWEEN 2 AND 8 AND rings BETWEEN 1 AND 4 AS oprea_pass, round(0.16 - 0.63 * logp - 0.0062 * mw + 0.066 * rotb - 0.74 * arom, 6) AS logs,
 ro5_violations <= 0 AS route_oral, logp BETWEEN 1 AND 3 AS route_injectable, tpsa <= 250 AND logp <= 4 AS route_ophthalmic, mw <= 500 AND logp BETWEEN 1 AND 4 AS route_topical FROM v),
 long AS (SELECT compound, 'ro5' AS rule, ro5_pass AS pass FROM flags UNION ALL SELECT compound, 'veber', veber_pass FROM flags UNION ALL SELECT compound, 'ghose', ghose_pass FROM flags UNION ALL SELECT compound, 'egan', egan_pass FROM flags UNION ALL SELECT compound, 'oprea', oprea_pass FROM flags) """
 _RULES = ("ro5", "veber", "ghose", "egan", "oprea")
@@ -117,7 +117,7 @@ def _flagged(spark, d):
 
 @query(_flags + "SELECT * FROM flags")
 def rule_flags(spark, d):
-    out = rounded(_flagged(spark, d), "logs", digits=4)
+    out = rounded(_flagged(spark, d), "logs")
     return out.select("compound", "ro5_violations", *[f"{r}_pass" for r in _RULES], "logs", *[c for c in out.columns if c.startswith("route_")])
 
 
@@ -232,10 +232,10 @@ def proteome_filter(spark, d):
     return rounded(tables.proteome_filtered(b.edges(spark, d), "target", listed, "small"), "weight").select("condition", "compound", "target", "weight", "n_proteome", "proteome_label")
 
 
-@query("SELECT target, disease, round(score, 6) AS score, rank FROM (SELECT target, disease, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, disease) AS rank FROM (SELECT l_partkey AS target, p.p_type AS disease, max(l_extendedprice / 100000) AS score FROM lineitem JOIN part p ON p.p_partkey = (l_suppkey % 50) + 1 GROUP BY ALL)) WHERE rank <= 3")
+@query("SELECT target, disease, round(score, 6) AS score, rank FROM (SELECT target, disease, score, row_number() OVER (PARTITION BY target ORDER BY score DESC, disease) AS rank FROM (SELECT l_partkey AS target, p.p_type AS disease, max(l_extendedprice / 1000) AS score FROM lineitem JOIN part p ON p.p_partkey = (l_suppkey % 50) + 1 GROUP BY ALL)) WHERE rank <= 3")
 def disease_profile(spark, d):
     li, p = b.table(spark, d, "lineitem"), b.table(spark, d, "part")
-    pairs = li.join(p, F.col("p_partkey") == (F.col("l_suppkey") % 50) + 1).groupBy(F.col("l_partkey").alias("target"), F.col("p_type").alias("disease")).agg(F.max(F.col("l_extendedprice") / 100000).alias("score"))
+    pairs = li.join(p, F.col("p_partkey") == (F.col("l_suppkey") % 50) + 1).groupBy(F.col("l_partkey").alias("target"), F.col("p_type").alias("disease")).agg(F.max(F.col("l_extendedprice") / 1000).alias("score"))
     return rounded(tables.first_of_group(pairs, ["target"], [F.desc_nulls_last("score"), F.col("disease")], 3, rank="rank"), "score")
 
 
