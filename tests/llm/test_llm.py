@@ -420,6 +420,13 @@ def test_base_scores_are_exact(spark, docs, odd):
     assert held[0] > 1.08 * held[1]  # close to the base even where there is little to learn from
 
 
+def test_numbered_words_are_the_words():
+    texts = [None, "", "  a B\x0bc\x0c", "é\u3000É\xa0x \x1cy\x85", "a\ta\r\na "]
+    t = mixing.Tokens(texts)
+    got = [[t.distinct[w] for w in t.word[t.text == i]] for i in range(len(texts))]
+    assert got == [mixing.words_of(x) for x in texts] and t.counts.tolist() == list(map(len, got))
+
+
 def test_no_training_rows(odd):
     got = mixing.score(odd, F.lit(False)).collect()
     assert len(got) == odd.count() and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in got)
