@@ -12,6 +12,7 @@ from .gif import op2_gif
 from .hilbert import op3_hilbert_neighbours
 from .mixing import op1_context_mixing
 from .near_dup import op7_near_dup
+from .oracles import NEAR_DUP, SECRETS
 from .packing import op6_packing
 from .secrets import op9_secrets
 from .token_counts import op4_token_counts
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[..., DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_near_dup": NEAR_DUP, "op9_secrets": SECRETS}
