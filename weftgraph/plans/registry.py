@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import kernels, network, paths, presence, screen, stats, tables
+from ..operators import kernels, network, paths, presence, ranking, screen, stats, tables, views
 from ..operators.components import connected_components
 from ..streaming import upserts
 from . import bindings as b
@@ -512,3 +512,91 @@ def synergy_classes(spark, d):
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
 def windowed_events(spark, d):
     return rounded(upserts.windowed_counts(b.table(spark, d, "events"), "ts", "event_type"), "mean_value")
+
+
+@query("SELECT t.compound, t.target, t.organ, round(t.panel_score, 6) AS panel_score, t.panel_score IS NOT NULL AS in_core_panel FROM (SELECT DISTINCT targets.compound, targets.target, p_brand AS organ, p_retailprice AS panel_score FROM targets LEFT JOIN (SELECT * FROM part WHERE p_size <= 10) ON target = p_partkey) t")
+def safety_panel(spark, d):
+    panel = b.table(spark, d, "part").filter("p_size <= 10").select(F.col("p_partkey").alias("target"), F.col("p_brand").alias("organ"), F.col("p_retailprice").alias("panel_score"))
+    return rounded(views.panel_flags(b.targets(spark, d).select("compound", "target").distinct(), panel), "panel_score").select("compound", "target", "organ", "panel_score", "in_core_panel")
+
+
+@query("SELECT condition, target, round(avg(weight), 6) AS score FROM edges WHERE weight IS NOT NULL GROUP BY ALL")
+def pathway_gene_scores(spark, d):
+    return rounded(views.gene_scores(b.edges(spark, d), "mean"), "score")
+
+
+_relations = ", rel AS (SELECT u AS source, v AS sink, event_type AS effect FROM transitions) "
+
+
+def _relations_of(spark, d):
+    return b.transitions(spark, d).select(F.col("u").cast("string").alias("source"), F.col("v").cast("string").alias("sink"), F.col("event_type").alias("effect"))
+
+
+@query(_relations + "SELECT CAST(source AS VARCHAR) AS source, CAST(sink AS VARCHAR) AS sink, arg_min(effect, (CASE effect WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END, effect)) AS effect FROM rel GROUP BY ALL")
+def dominant_relations(spark, d):
+    return views.dominant_effects(_relations_of(spark, d), ["purchase", "click"])
+
+
+@query(", a AS (SELECT l_partkey AS target, p_brand AS class, CAST(l_suppkey AS VARCHAR) AS disease, l_tax AS score FROM lineitem JOIN part ON p_partkey = l_suppkey % 50 + 1), n AS (SELECT target, class, count(DISTINCT disease) AS n, max(score) AS best FROM a GROUP BY ALL) SELECT target, class, n FROM n QUALIFY row_number() OVER (PARTITION BY target ORDER BY n DESC, best DESC NULLS LAST, class) = 1")
+def primary_class(spark, d):
+    li, p = b.table(spark, d, "lineitem"), b.table(spark, d, "part")
+    rows = li.join(p, F.col("p_partkey") == F.col("l_suppkey") % 50 + 1).select(F.col("l_partkey").alias("target"), F.col("p_brand").alias("class"), F.col("l_suppkey").cast("string").alias("disease"), F.col("l_tax").alias("score"))
+    return views.primary_class(rows)
+
+
+@query("SELECT disease, target, round(max(score), 6) AS score, string_agg(DISTINCT source, '; ' ORDER BY source) AS sources FROM (SELECT p_type AS disease, p_partkey AS target, p_retailprice / 2500 AS score, 'curated' AS source FROM part UNION ALL SELECT p_type, p_partkey, p_size / 50.0::DOUBLE, 'text' FROM part WHERE p_size > 20) GROUP BY ALL")
+def pooled_diseases(spark, d):
+    p = b.table(spark, d, "part")
+    first = b.diseases(spark, d).withColumn("source", F.lit("curated"))
+    text = p.filter("p_size > 20").select(F.col("p_type").alias("disease"), F.col("p_partkey").alias("target"), (F.col("p_size") / 50.0).alias("score"), F.lit("text").alias("source"))
+    return rounded(views.pooled_associations([first, text]), "score")
+
+
+@query(", t AS (SELECT DISTINCT l_partkey AS gene, l_suppkey AS term FROM lineitem), w AS (SELECT gene, count(*) AS n_terms FROM t GROUP BY gene ORDER BY n_terms DESC, gene LIMIT 25) SELECT gene, n_terms, term FROM t JOIN w USING (gene)")
+def gene_term_chord(spark, d):
+    t = b.table(spark, d, "lineitem").select(F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("term"))
+    return views.gene_term_matrix(t, 25)
+
+
+@query("SELECT condition, compound, round(greatest(-z, 0.05), 6) AS weight, z = min(z) OVER (PARTITION BY condition) AS best FROM zscores WHERE z IS NOT NULL")
+def condition_disease_flow(spark, d):
+    return rounded(views.disease_flow(b.zscores(spark, d)), "weight").select("condition", "compound", "weight", "best")
+
+
+@query("SELECT compound, axis, round(value, 6) AS value FROM (UNPIVOT (SELECT compound, coalesce(CASE WHEN logp IS NOT NULL THEN greatest(0, least(1, (logp + 1) / 6)) END, NULL) AS logp, greatest(0, least(1, tpsa / 150)) AS tpsa, greatest(0, least(1, rotb / 10)) AS rotb FROM descriptors) ON logp, tpsa, rotb INTO NAME axis VALUE value)")
+def admet_radar(spark, d):
+    return rounded(views.radar(b.descriptors(spark, d), "compound", {"logp": (-1.0, 5.0), "tpsa": (0.0, 150.0), "rotb": (0.0, 10.0)}), "value")
+
+
+@query("SELECT compound, key, coalesce(e, s) AS external_id, CASE WHEN e IS NOT NULL THEN 'exact' WHEN s IS NOT NULL THEN 'skeleton' ELSE 'none' END AS match_type FROM (SELECT s_suppkey AS compound, s_name AS key, (SELECT min(c_name) FROM customer WHERE replace(c_name, 'Customer', 'Supplier') = s_name AND c_acctbal > 0) AS e, (SELECT min(c_name) FROM customer WHERE substr(replace(c_name, 'Customer', 'Supplier'), 1, 14) = substr(s_name, 1, 14) AND c_acctbal > 0) AS s FROM supplier)")
+def identity_chain(spark, d):
+    s, c = b.table(spark, d, "supplier"), b.table(spark, d, "customer").filter("c_acctbal > 0")
+    registry = c.select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("key"), F.col("c_name").alias("external_id"))
+    return views.identity_chain(s.select(F.col("s_suppkey").alias("compound"), F.col("s_name").alias("key")), registry)
+
+
+@query(_jac + """, r AS (SELECT DISTINCT condition, compound, p_brand AS name FROM edges JOIN part ON target = p_partkey), rn AS (SELECT condition, compound, count(*) AS n FROM r GROUP BY ALL),
+rs AS (SELECT x.condition, x.compound AS a, y.compound AS b, count(*) AS k FROM r x JOIN r y ON x.condition = y.condition AND x.name = y.name AND x.compound < y.compound GROUP BY ALL),
+f AS (SELECT rs.condition, a, b, k / (p.n + q.n - k) AS functional_similarity FROM rs JOIN rn p ON p.condition = rs.condition AND p.compound = a JOIN rn q ON q.condition = rs.condition AND q.compound = b)
+SELECT f.condition, f.a, f.b, round(functional_similarity, 6) AS functional_similarity, round(coalesce(jaccard, 0), 6) AS target_jaccard, round(functional_similarity * (1 - coalesce(jaccard, 0)), 6) AS degeneracy_score FROM f LEFT JOIN jac ON f.condition = jac.condition AND f.a = jac.a AND f.b = jac.b""")
+def pair_degeneracy(spark, d):
+    return rounded(ranking.degeneracy(b.edges(spark, d), b.brands(spark, d)), "functional_similarity", "target_jaccard", "degeneracy_score")
+
+
+def _candidates(spark, d):
+    flags = _flagged(spark, d).select("compound", F.aggregate(F.array(*[F.col(f"{r}_pass").cast("int") for r in _RULES]), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))).alias("passed"))
+    hub = ranking.rolled_up(b.edges(spark, d), network.hub_penalty(b.present(spark, d), b.edges(spark, d)).groupBy("target").agg(F.max("score_adjusted").alias("score")), "max")
+    return b.zscores(spark, d).join(flags, "compound", "left").join(hub.withColumnRenamed("score", "hub"), ["condition", "compound"], "left")
+
+
+@query(None)
+def rank_candidates(spark, d):
+    out = ranking.ranked(_candidates(spark, d), "compound", {"passed": 1, "hub": 1, "z": -1})
+    return rounded(out, "rra_score", "mean_rank").select("condition", "compound", "rank_passed", "rank_hub", "rank_z", "rra_score", "mean_rank", "rra_rank", "n_criteria_used")
+
+
+@query(None)
+def term_modules(spark, d):
+    t = b.table(spark, d, "lineitem").filter("l_quantity >= 48").select(F.col("l_suppkey").alias("term"), (F.col("l_partkey") % 40).alias("gene"))
+    e = network.term_overlap(t, 0.4).select(F.lit("all").alias("network"), F.col("a").alias("u"), F.col("b").alias("v"))
+    return rounded(kernels.module_robustness(e, ["network"]), "r_index", "r_index_random", "modularity")
