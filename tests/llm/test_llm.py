@@ -420,6 +420,17 @@ def test_base_scores_are_exact(spark, docs, odd):
     assert held[0] > 1.08 * held[1]  # close to the base even where there is little to learn from
 
 
+def test_tables_are_summed_in_a_tree(spark, docs, monkeypatch):
+    rows = docs.select("text", F.lit(True).alias("learn")).repartition(7)
+    classes = mixing.Classes([], [b"the"])
+    flat = mixing.gathered(rows, [b"the", b"of"], classes)
+    monkeypatch.setattr(mixing, "FAN_IN", 2)
+    deep = mixing.gathered(rows, [b"the", b"of"], classes)
+    words = Counter(w for t in texts_of(docs).values() for w in mixing.words_of(t))
+    assert (flat[0] == deep[0]).all() and flat[1].tolist() == deep[1].tolist() == [words[b"the"], words[b"of"], docs.count()]
+    assert flat[2] == deep[2] == sum(words.values()) + docs.count()
+
+
 def test_numbered_words_are_the_words():
     texts = [None, "", "  a B\x0bc\x0c", "é\u3000É\xa0x \x1cy\x85", "a\ta\r\na "]
     t = mixing.Tokens(texts)
