@@ -55,11 +55,16 @@ def filtered(docs: DataFrame, judge, held) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate component; of repeated rows with that id, one."""
+    """Keep the document with the smallest id of each near-duplicate component; of rows repeated whole, one."""
     found = components(docs, k=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    # Only the ids to drop are moved; whole rows meet them by id.
+    # Only ids are grouped; whole rows meet those that go, and only rows of repeated ids are compared.
     drop = found.filter("not kept").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id"])
+    again = persisted(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    left = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    single = left.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
