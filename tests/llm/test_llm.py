@@ -394,6 +394,25 @@ def test_neighbours(spark):
     assert hilbert.nearest(both.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("case", ["near copies", "outlier"])
+def test_neighbours_of_near_copies_and_beside_an_outlier(spark, case):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 64)) / 8
+    if case == "near copies":
+        x[:3000] = x[0] + rng.normal(size=(3000, 64)) * 0.0005
+    else:
+        x[7] *= 1000
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    got = hilbert.nearest(df, F.col("vec_id") % 100 == 0).toPandas()
+    hits = total = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits, total = hits + len(set(np.argsort(d)[:10].tolist()) & set(got[got.query_id == q].vec_id)), total + 10
+    print(case, "recall", hits / total)
+    assert hits / total >= 0.9
+
+
 # 1: language-model scores
 
 

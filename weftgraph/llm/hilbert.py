@@ -5,9 +5,11 @@ a random shift, and gets one Hilbert key in each ordering. Cut points taken
 from a bounded sample of vectors divide each ordering into cells of about equal
 numbers. Every vector is put into its cell, every query into its own and both
 neighbouring ones; range partitioning on (ordering, zone of cells) brings them
-together. In a cell, distances to vectors rounded to one byte a component keep
-the nearest few; what all orderings found is merged, and the best are reranked
-by their exact distance.
+together. There, vectors are rounded to two bytes a component at a scale of
+their own and carry the length of what rounding lost, so that each distance has
+a lower and an upper bound. Kept are all vectors whose lower bound is not above
+the k-th upper bound, first in a cell, then over all orderings: none of the k
+nearest that a query sees is lost. What is left is ranked by exact distances.
 
 Equal vectors are one candidate that carries the smallest ids needed, so a
 vector that many rows share costs no more than another. Rows without a usable
@@ -36,8 +38,10 @@ ZONE = 16  # cells in a zone, the unit of a group
 #: Rows of a zone's block; zones that hold more vectors are split and their queries copied to each block.
 BLOCK_ROWS = 16_384
 SAMPLE = 20_000
-#: Nearest kept for each query in a cell, and for reranking.
-IN_CELL, RERANKED = 24, 200
+#: Distances that are held at once for the queries of a cell.
+AT_ONCE = 1 << 22
+#: Largest share by which arithmetic in doubles may change a squared distance, of the squared lengths.
+SLACK = 1e-12
 
 
 def hilbert_keys(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -73,14 +77,15 @@ class Index:
     def __init__(self, sample: np.ndarray, seed: int = 11):
         rng = np.random.default_rng(seed)
         width = sample.shape[1]
-        self.centre = sample.mean(axis=0)
-        self.scale = float(np.abs(sample).max()) or 1.0
+        # Without the outermost hundredths: a few vectors far off would put all others into one cell.
+        self.centre = np.clip(sample, *np.quantile(sample, (0.01, 0.99), axis=0)).mean(axis=0)
         self.turns = []
         self.cuts = []
         cells = int(np.clip(len(sample) // CELL_ROWS, 1, MOST_CELLS))
         for _ in range(ORDERINGS):
             turn = np.linalg.qr(rng.normal(size=(width, min(DIMS, width))))[0]
-            spread = ((sample - self.centre) @ turn).std(axis=0)
+            along = (sample - self.centre) @ turn
+            spread = np.clip(along, *np.quantile(along, (0.01, 0.99), axis=0)).std(axis=0)
             self.turns.append((turn / np.where(spread > 0, spread, 1), rng.uniform(-0.5, 0.5, turn.shape[1])))
             keys = np.sort(self.keys(sample, len(self.turns) - 1))
             self.cuts.append(keys[np.arange(1, cells) * len(keys) // cells])
@@ -93,8 +98,29 @@ class Index:
     def cells(self, vectors: np.ndarray, ordering: int) -> np.ndarray:
         return np.searchsorted(self.cuts[ordering], self.keys(vectors, ordering), side="right")
 
-    def rounded(self, vectors: np.ndarray) -> np.ndarray:
-        return (vectors / self.scale * 127).round().clip(-127, 127).astype(np.int8)
+    def rounded(self, vectors: np.ndarray) -> list[bytes]:
+        """Each vector's scale, the length of its rounding error, and its components from the centre in steps of the scale."""
+        x = vectors - self.centre
+        scale = np.maximum(np.abs(x).max(axis=1) / 32767, 1e-300)
+        steps = np.rint(x / scale[:, None]).astype(np.int16)
+        error = np.sqrt(((x - steps * scale[:, None]) ** 2).sum(axis=1))
+        return [a.tobytes() + b.tobytes() for a, b in zip(np.stack([scale, error], axis=1), steps, strict=True)]
+
+
+def unrounded(low) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors from the centre and the lengths of their rounding errors."""
+    raw = np.frombuffer(b"".join(low), np.uint8).reshape(len(low), -1)
+    head = raw[:, :16].copy().view(np.float64)
+    return raw[:, 16:].copy().view(np.int16) * head[:, :1], head[:, 1]
+
+
+def bounds(q: np.ndarray, q_error: np.ndarray, c: np.ndarray, c_error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the distances between rounded vectors; what is no number bounds nothing."""
+    lengths = (q**2).sum(1)[:, None] + (c**2).sum(1)
+    square, error = lengths - 2 * q @ c.T, q_error[:, None] + c_error
+    low = np.sqrt(np.maximum(square - SLACK * lengths, 0)) - error
+    high = np.sqrt(np.maximum(square, 0) + SLACK * lengths) + error
+    return np.nan_to_num(low, nan=0.0), np.nan_to_num(high, nan=np.inf, posinf=np.inf)
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -138,7 +164,7 @@ def nearest(df: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vector:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
                 x = np.stack(part["vector"].to_numpy())
-                ids, low = part["id"].to_numpy(), [r.tobytes() for r in index.rounded(x)]
+                ids, low = part["id"].to_numpy(), index.rounded(x)
                 out = {"ordering": [], "cell": [], "block": [], "row": []}
                 for o in range(ORDERINGS):
                     cell, here = index.cells(x, o), np.arange(len(x))
@@ -167,20 +193,26 @@ def nearest(df: DataFrame, queries, k: int = 10, vec_id: str = "vec_id", vector:
             q, c = part[part["query"]], part[~part["query"]]
             if not len(q) or not len(c):
                 continue
-            left, right = (np.frombuffer(b"".join(p["low"]), np.int8).reshape(len(p), -1).astype(np.float32) for p in (q, c))
-            qi, ci, own = q["id"].to_numpy(), c["id"].to_numpy(), (right**2).sum(1)
-            for at in range(0, len(q), 256):
-                d = own - 2 * left[at : at + 256] @ right.T
-                near = np.argpartition(d, IN_CELL - 1, axis=1)[:, :IN_CELL] if len(c) > IN_CELL else np.tile(np.arange(len(c)), (len(d), 1))
-                full = np.take_along_axis(d, near, 1) + (left[at : at + 256] ** 2).sum(1)[:, None]
-                found.append(np.stack([np.repeat(qi[at : at + 256], near.shape[1]), ci[near.ravel()], full.ravel().round().astype(np.int64)], axis=1))
-        got = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        return pd.DataFrame({"query_id": got[:, 0], "rep": got[:, 1], "about": got[:, 2]}).drop_duplicates()
+            (left, left_error), (right, right_error) = unrounded(q["low"]), unrounded(c["low"])
+            qi, ci, step = q["id"].to_numpy(), c["id"].to_numpy(), max(1, AT_ONCE // len(c))
+            for at in range(0, len(q), step):
+                ask = qi[at : at + step]
+                low, high = bounds(left[at : at + step], left_error[at : at + step], right, right_error)
+                # A query's own vector may have no other row to give.
+                others = np.where(ask[:, None] == ci, np.inf, high)
+                limit = np.partition(others, k - 1, axis=1)[:, k - 1] if len(c) >= k else np.full(len(ask), np.inf)
+                a, b = np.nonzero(low <= limit[:, None])
+                found.append(pd.DataFrame({"query_id": ask[a], "rep": ci[b], "low": low[a, b], "high": high[a, b]}))
+        if not found:
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "rep": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)})
+        return pd.concat(found).groupby(["query_id", "rep"], as_index=False).min()
 
     width_ = int(spark.conf.get("spark.sql.shuffle.partitions"))
     zones = indexed.unionByName(sought).repartitionByRange(max(width_, min(ORDERINGS, 4 * width_)), "ordering", "zone", "block")
-    pairs = zones.groupBy("ordering", "zone", "block").applyInPandas(compared, "query_id bigint, rep bigint, about bigint").distinct()
-    best = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("about", "rep"))).filter(F.col("place") <= RERANKED).select("query_id", "rep")
+    pairs = zones.groupBy("ordering", "zone", "block").applyInPandas(compared, "query_id bigint, rep bigint, low double, high double").groupBy("query_id", "rep").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+    whole = Window.partitionBy("query_id").orderBy(F.when(F.col("rep") != F.col("query_id"), F.col("high")).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    limit = F.nth_value(F.when(F.col("rep") != F.col("query_id"), F.col("high")), k).over(whole)
+    best = pairs.withColumn("limit", limit).filter(F.col("limit").isNull() | (F.col("low") <= F.col("limit"))).select("query_id", "rep")
     exact = best.join(base, "rep").join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q")).distinct(), "query_id")
     square = F.aggregate(F.zip_with("q", "vector", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     each = exact.select("query_id", F.explode("ids").alias("vec_id"), F.sqrt(square).alias("score")).filter("vec_id <> query_id")
