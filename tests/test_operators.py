@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.operators import kernels, network, paths, presence, screen, stats, tables
 from weftgraph.operators.components import connected_components
+from weftgraph.plans import registry
 from weftgraph.plans.project import Project
 from weftgraph.sources import readers, writers
 
@@ -92,6 +93,18 @@ def test_separation_of_unconnected_sets_is_null(spark):
     assert r.d_ab is None and r.separation is None
 
 
+def test_network_separation_has_no_farthest_hop(spark, monkeypatch):
+    """Two pairs of a chain of 12 steps, 9 and 2 apart, and a member off the largest component."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(50, 51)], "u long, v long")
+    sets = spark.createDataFrame([("A", 1, 0), ("A", 1, 9), ("A", 2, 10), ("A", 2, 12), ("A", 2, 50)], "condition string, compound long, target long")
+    monkeypatch.setattr(registry.b, "interactions", lambda *_: chain)
+    monkeypatch.setattr(registry.b, "edges", lambda *_: sets)
+    r = registry.network_separation(spark, "").first()
+    one, two = (0, 9), (10, 12)
+    between = (sum(min(abs(x - y) for y in two) for x in one) + sum(min(abs(x - y) for x in one) for y in two)) / 4
+    assert (r.d_aa, r.d_bb, r.d_ab, r.separation) == (9, 2, between, between - 11 / 2)
+
+
 def test_bow_tie_parts(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (0, 1), (3, 4), (8, 9)], "u long, v long")
     assert dict(rows(paths.bow_tie(e))) == {0: "in", 1: "core", 2: "core", 3: "core", 4: "out", 8: "other", 9: "other"}

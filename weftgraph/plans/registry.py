@@ -449,9 +449,11 @@ def bow_tie(spark, d):
 @query(None)
 def network_separation(spark, d):
     sets = b.edges(spark, d).filter("condition = 'A'").select(F.col("compound").alias("name"), F.col("target").alias("node"))
-    net = paths.both_ways(b.interactions(spark, d))
-    inside = sets.join(net.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
-    far = paths.hops(net, inside.select(F.col("node").alias("source")), 6)
+    net = b.interactions(spark, d)
+    # As in the reference, members off the largest component do not count.
+    inside = sets.join(paths.largest_component(net), "node", "left_semi")
+    members = inside.select(F.col("node").alias("draw"), "node").distinct()
+    far = paths.multi_source_hops(net, members, members).withColumnRenamed("draw", "source")
     return rounded(paths.separation(far, inside), "d_aa", "d_bb", "d_ab", "separation")
 
 
