@@ -18,8 +18,8 @@ from weftgraph.llm.near_dup import components
 from weftgraph.llm.packing import pack
 from weftgraph.llm.secrets import redacted
 
-#: A document is dropped by quality only where the model is this sure; scores are calibrated probabilities of being good.
-BAD_BELOW = 0.3
+#: Scores are calibrated probabilities of being good; below this the classifier (op8) predicts label 0, and the document goes.
+BAD_BELOW = 0.5
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 
 

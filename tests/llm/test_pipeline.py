@@ -4,6 +4,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from weftgraph.llm.classify import quality_model, score_quality
 from weftgraph.llm.common import persisted
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,17 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 def test_run_over_the_table(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_quality_drops_what_the_classifier_predicts_to_be_bad(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    known = docs.join(labels.filter("quality is not null"), "doc_id").filter("n_chars > 400").select("text", "quality").orderBy("doc_id").collect()
+    fine, poor = ([r.text.split() for r in known if r.quality == q][:6] for q in (1, 0))
+    texts = [" ".join(a[: 2 * n] + b[: 2 * (20 - n)]) for a in fine for b in poor for n in range(21)]
+    planted = docs.unionByName(spark.createDataFrame([(90_000 + i, t, "en", "s", len(t)) for i, t in enumerate(texts)], docs.schema))
+    model = quality_model(planted, labels, F.lit(True))
+    score = {r.doc_id: r.score for r in score_quality(planted, model).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.good(spark, planted, SF).collect()}
+    assert any(0.3 <= s < 0.5 for s in score.values())
+    assert kept == {i for i, s in score.items() if s >= 0.5}
