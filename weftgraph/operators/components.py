@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and cut the lineage there."""
-    sc = df.sparkSession.sparkContext
+    """Write the rows to the shared checkpoint folder and cut the lineage there.
+
+    The folder is the session's spark.checkpoint.dir; without one, only a
+    local[...] master, whose executors live in the driver, gets one of its own.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/weftgraph-checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-"))
     return df.checkpoint(eager=True)
 
 
@@ -20,15 +30,19 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most: int
     Alternates two steps until the edges stay the same: each node hands its
     larger neighbours, then its smaller ones, to the smallest node it knows. The
     number of edges never grows, and the rounds grow with the logarithm of the
-    longest path. Minima are aggregated before they are shuffled.
-    Null ends and self-loops are ignored.
+    longest path. Minima are aggregated before they are shuffled, and written
+    before they are joined: both sides of each join are then plain shuffles, which
+    adaptive execution splits where a node has very many neighbours. More than
+    `most` rounds are an error. Null ends and self-loops are ignored.
     """
     now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v")
     now = checkpointed(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     before = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
@@ -37,5 +51,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most: int
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not settled after {most} rounds")
     leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
