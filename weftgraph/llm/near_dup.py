@@ -6,32 +6,40 @@
 2. Trees of chosen paths: at a node, a hash of the path selects one or two
    signature places; a class goes on to the child named by its minwise token at
    each. Two classes of similarity 0.8 stay together along at least one path of a
-   tree of LEVELS levels with probability 0.64, so TREES independent trees miss
-   a link with probability under 1e-5. Nodes of more than LARGE classes are
-   branched again, in TREES_AGAIN trees of two more levels, which keep a pair
-   with probability 0.93; with that, TREES trees miss it with 4e-6.
-3. Small nodes are compared exhaustively by signature; larger ones are
-   compared in pairs of blocks. A node gives a spanning forest of its similar
-   pairs, never all pairs; the forests' components are clusters.
-4. Each class's full set goes to its cluster once (in pairs of blocks, if the
-   cluster is large), where exact similarities are computed. Their spanning
-   forests make the components of the result.
+   tree of LEVELS levels with probability 0.64, so TREES trees miss a link in
+   about 1e-5 of cases (as all trees share the signature's PLACES places, up to
+   2e-5).
+3. A node of more than LARGE classes is branched on, in TREES_AGAIN trees of
+   LEVELS_AGAIN further levels, until its parts are small. Before that, all its
+   classes are compared with one of them, its anchor; a node whose classes are of
+   one component by then has nothing left to find and is dropped. So a large
+   group of near copies costs rows in proportion to its size at each round,
+   never to its square. What is left after ROUNDS is compared in pairs of blocks.
+4. Small nodes are compared exhaustively by signature, which leaves in them only
+   classes that may be linked. Some trees at a time (BATCHES), these get their
+   full sets, and all similarities within a node are computed. Later trees look
+   only at pairs that are not of one component by then and that have not met in
+   a node before, so the many nodes that hold one group of near copies cost
+   little more than one of them.
 
 The signature test lets pass what is estimated at five standard deviations
-below the threshold, so it does not lose links. Nulls, empty texts and texts
-without words have the empty set and are linked with nothing: they are kept,
-each its own component. Repeated rows come out as often as they went in. An empty table gives an
-empty result; other columns are ignored.
+below the threshold, so it does not lose links; every link is confirmed on full
+sets. Nulls, empty texts and texts without words have the empty set and are
+linked with nothing: they are kept, each its own component, and so are rows with
+a null id. Repeated rows come out as often as they went in; rows of one id but
+different texts are labelled each by its own text. An empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -39,12 +47,14 @@ from .common import map_rows, persisted, shuffle_width, table
 
 PLACES = 64  # of a signature
 TREES, LEVELS = 14, 3
-TREES_AGAIN, LEVELS_AGAIN, ROUNDS_AGAIN = 2, 2, 2
+TREES_AGAIN, LEVELS_AGAIN, ROUNDS = 2, 2, 8
 SECOND_PLACE = 0.25  # share of nodes that branch on a second place: 1.25 * 0.8 = 1
-#: Classes compared at once in a node, by signature, and in a cluster, by full sets.
-IN_NODE, IN_CLUSTER = 512, 256
-#: Nodes up to this size are compared in pairs of blocks, which copies fewer rows than branching them again would.
-LARGE = 4096
+#: Classes of a node that are compared exhaustively, in one group; larger nodes are branched on.
+LARGE = 2048
+#: Trees after which components are made, up to the last one.
+BATCHES = (2, TREES)
+#: Rows of a group with signatures, and with full sets; shingles in a node that are held at once.
+SIGNATURES_AT_ONCE, SETS_AT_ONCE, SHINGLES_AT_ONCE = 20_000, 2_000, 8_000_000
 SIGMAS = 5.0
 #: Words whose hashes a worker keeps.
 CACHE_ENTRIES = 400_000
@@ -97,15 +107,20 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit numbers that stand for a set."""
+    low, high = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), ">i8").tolist()
+    return low, high
+
+
 def shingled(df: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """Id, set size, set digest and signature of every row."""
 
     def kernel(rows: dict[str, list]) -> dict[str, list]:
         sets = shingles(rows["text"], k)
-        digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        digests = list(map(digest, sets))
         return {
-            "doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "k1": [signed(d >> 64) for d in digests], "k2": [signed(d & (1 << 64) - 1) for d in digests],
+            "doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "k1": [a for a, _ in digests], "k2": [b for _, b in digests],
             "sig": [signature(s).tobytes() if len(s) else None for s in sets],
         }
 
@@ -114,12 +129,13 @@ def shingled(df: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
 
 
 def branched(rows: DataFrame, trees: int, levels: int, seed: int) -> DataFrame:
-    """Paths of `levels` further levels from each row's node, in `trees` trees: node, rep. Rows: node, rep, sig."""
+    """Paths of `levels` further levels from each row's node, in `trees` trees: node, rep, tree. Rows: node, rep, sig, tree (null for roots)."""
 
     def kernel(part: dict[str, list]) -> dict[str, list]:
         sig = np.frombuffer(b"".join(part["sig"]), np.uint32).reshape(-1, PLACES)
         start = np.array(part["node"], np.int64).view(np.uint64)
-        nodes, who = [], []
+        nodes, who, kind = [], [], []
+        given = part["tree"][0] is not None
         for tree in range(trees):
             path, at = mixed(start ^ np.uint64((seed * 1000 + tree + 1) * 0x9E3779B1)), np.arange(len(sig))
             for _ in range(levels):
@@ -131,24 +147,11 @@ def branched(rows: DataFrame, trees: int, levels: int, seed: int) -> DataFrame:
                 path, at = np.concatenate([step(path, at, places), step(path[second], at[second], other[second])]), np.concatenate([at, at[second]])
             nodes.append(path)
             who.append(at)
+            kind.append(np.array(part["tree"])[at] if given else np.full(len(at), tree))
         rep = np.array(part["rep"], np.int64)
-        return {"node": np.concatenate(nodes).view(np.int64), "rep": rep[np.concatenate(who)]}
-
-    return map_rows(rows.select("node", "rep", "sig"), kernel, "node bigint, rep bigint")
+        return {"node": np.concatenate(nodes).view(np.int64), "rep": rep[np.concatenate(who)], "tree": np.concatenate(kind)}
 
-
-def forest(similar: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a symmetric boolean matrix, as index pairs."""
-    left, out = set(range(len(similar))), []
-    while left:
-        queue = [left.pop()]
-        while queue and left:
-            i = queue.pop()
-            new = [j for j in np.flatnonzero(similar[i]).tolist() if j in left]
-            left.difference_update(new)
-            out += [(i, j) for j in new]
-            queue += new
-    return out
+    return map_rows(rows.select("node", "rep", "sig", "tree"), kernel, "node bigint, rep bigint, tree smallint")
 
 
 def passes(n: np.ndarray, m: np.ndarray, agree: np.ndarray, percent: int) -> np.ndarray:
@@ -159,103 +162,118 @@ def passes(n: np.ndarray, m: np.ndarray, agree: np.ndarray, percent: int) -> np.
     return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (agree >= least)
 
 
-def node_forests(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Spanning forests of the pairs that may be links, for all nodes among the rows (node, i, j, rep, n, low)."""
-    pdf = pdf.sort_values(["node", "i", "j", "rep"], ignore_index=True)
+def agreeing(pdf: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes of equal size among the rows (node, n, low; sorted by node): their rows, agreeing places of all pairs, and which pairs may be links."""
     low = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, PLACES)
-    rep, n = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
-    key = pdf[["node", "i", "j"]].to_numpy()
-    begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)]) if len(pdf) else np.zeros(0, int)
+    n, node = pdf["n"].to_numpy(), pdf["node"].to_numpy()
+    begin = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(pdf) else np.zeros(0, int)
     size = np.diff(np.r_[begin, len(pdf)])
-    out: list[np.ndarray] = []
     for m in np.unique(size):
         if m < 2:
             continue
         starts = begin[size == m]
-        step = max(1, (1 << 22) // int(m * m * PLACES) or 1)
+        step = max(1, (1 << 22) // int(m * m * PLACES))
         for at in range(0, len(starts), step):
             rows = starts[at : at + step, None] + np.arange(m)
             if m <= 64:
-                agree = (low[rows][:, :, None] == low[rows][:, None]).sum(axis=3)
+                agree = (low[rows][:, :, None] == low[rows][:, None]).sum(axis=3, dtype=np.uint8)
             else:
-                agree = np.stack([np.stack([(low[r] == low[x]).sum(axis=1) for x in r]) for r in rows])
+                agree = np.stack([np.stack([(low[r] == low[x]).sum(axis=1, dtype=np.uint8) for x in r]) for r in rows])
             ok = passes(n[rows][:, :, None], n[rows][:, None], agree, percent)
-            if m <= 3:
-                g, a, b = np.nonzero(np.triu(ok, 1))
-                out.append(np.stack([rep[rows[g, a]], rep[rows[g, b]]], axis=1))
-            else:
-                for g in range(len(rows)):
-                    if pairs := forest(ok[g]):
-                        out.append(rep[rows[g][np.array(pairs)]])
-    found = np.unique(np.sort(np.concatenate(out), axis=1), axis=0) if out else np.zeros((0, 2), np.int64)
-    found = spanning(found)
-    return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
+            ok[:, np.arange(m), np.arange(m)] = False
+            yield rows, agree, ok
+
+
+def met_before(seen: list[np.ndarray]) -> np.ndarray:
+    """Which pairs have a node of their lists in common."""
+    return shared_counts(seen) > 0
+
+
+def open_members(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of the members of nodes (node, rep, tree, comp, n, low, seen), those that may have a link that is not known: node, rep, tree."""
+    pdf = pdf.sort_values(["node", "rep"], ignore_index=True)
+    comp, seen = pdf["comp"].to_numpy(), pdf["seen"].tolist()
+    keep = np.zeros(len(pdf), bool)
+    for rows, _, ok in agreeing(pdf, percent):
+        ok &= comp[rows][:, :, None] != comp[rows][:, None]
+        for g in np.flatnonzero(ok.any(axis=(1, 2))).tolist():
+            lists = [seen[r] for r in rows[g]]
+            if any(x is not None and len(x) for x in lists):
+                ok[g] &= ~met_before([np.asarray(x if x is not None else (), np.int64) for x in lists])
+        keep[rows[ok.any(axis=2)]] = True
+    return pdf.loc[keep, ["node", "rep", "tree"]]
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two sets have in common: frequent elements by products of matrices, rare ones by the pairs that hold them."""
+    m, n = len(sets), [len(x) for x in sets]
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, often = np.repeat(np.arange(m), n), count > max(8, m // 16)
+    shared = np.zeros((m, m), np.float32)
+    column = np.cumsum(often) - 1
+    here = often[inverse]
+    at, who = column[inverse[here]], owner[here]
+    order = np.argsort(at, kind="stable")
+    at, who = at[order], who[order]
+    for low in range(0, int(often.sum()), 4096):
+        lo, hi = np.searchsorted(at, (low, low + 4096))
+        block = np.zeros((m, 4096), np.float32)
+        block[who[lo:hi], at[lo:hi] - low] = 1
+        shared += block @ block.T
+    few = ~here & (count[inverse] > 1)
+    at, who = inverse[few], owner[few]
+    order = np.lexsort((who, at))
+    who, times = who[order], count[at[order]]
+    for c in np.unique(times).tolist():
+        groups = who[times == c].reshape(-1, c)
+        step = max(1, (1 << 21) // (c * c))
+        for lo in range(0, len(groups), step):
+            g = groups[lo : lo + step]
+            np.add.at(shared.reshape(-1), (g[:, :, None] * m + g[:, None]).reshape(-1), np.float32(1))
+    shared[np.arange(m), np.arange(m)] = n
+    return shared
+
+
+def are_linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def spanning(edges: np.ndarray) -> np.ndarray:
-    """Edges enough to keep the components of a few edges."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    kept = []
-    for n, (u, v) in enumerate(edges.tolist()):
-        a, b = find(u), find(v)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            kept.append(n)
-    return edges[kept]
-
-
-def exact_similar(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The symmetric matrix of links between full sets."""
-    m, n = len(sets), np.array([len(s) for s in sets])
-    if m <= 12:
-        shared = np.diag(n)
-        for a in range(m):
-            for b in range(a + 1, m):
-                if 100 * min(n[a], n[b]) >= percent * max(n[a], n[b]):
-                    shared[a, b] = shared[b, a] = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-    else:
-        token, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(m), n)
-        column = np.cumsum(count > 1) - 1  # tokens of one set alone are shared by none
-        keep = count[inverse] > 1
-        owner, inverse = owner[keep], column[inverse[keep]]
-        order = np.argsort(inverse, kind="stable")
-        owner, inverse = owner[order], inverse[order]
-        shared = np.zeros((m, m))
-        width = 4096
-        for at in range(0, int((count > 1).sum()), width):
-            lo, hi = np.searchsorted(inverse, (at, at + width))
-            block = np.zeros((m, width), np.float32)
-            block[owner[lo:hi], inverse[lo:hi] - at] = 1
-            shared += block @ block.T
-    union = n[:, None] + n - shared
-    return 100 * shared >= percent * union
-
-
-def cluster_forests(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Spanning forests of the links within the rows of (cluster, i, j, rep, shingles)."""
+def forest(similar: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric boolean matrix, as index pairs."""
+    left, out = np.ones(len(similar), bool), []
+    for root in range(len(similar)):
+        queue, left[root] = [root] if left[root] else [], False
+        while queue:
+            i = queue.pop()
+            new = np.flatnonzero(similar[i] & left).tolist()
+            left[new] = False
+            out += [(i, j) for j in new]
+            queue += new
+    return out
+
+
+def node_links(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Spanning forests of the links within nodes, from rows of node, rep, shingles."""
     out = []
-    for _, part in pdf.groupby(["cluster", "i", "j"], sort=True):
-        part = part.drop_duplicates("rep")
-        rep = part["rep"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in part["shingles"]]
-        out += [(rep[a], rep[b]) for a, b in forest(exact_similar(sets, percent))]
+    for _, part in pdf.groupby("node", sort=True):
+        rep, sets = part["rep"].to_numpy(), [np.frombuffer(x, np.uint64) for x in part["shingles"]]
+        if len(sets) == 2:
+            pairs = [(0, 1)] if are_linked(*sets, percent) else []
+        else:
+            n, shared = np.array([len(x) for x in sets]), shared_counts(sets).astype(np.int64)
+            pairs = forest(100 * shared >= percent * (n[:, None] + n - shared))
+        out += [(rep[a], rep[b]) for a, b in pairs]
     found = np.array(out, np.int64).reshape(-1, 2)
     return pd.DataFrame({"u": found[:, 0], "v": found[:, 1]})
 
 
-def in_blocks(rows: DataFrame, key: str, size: str, small: int) -> DataFrame:
-    """Replicate the rows of a group of more than `small` so that each pair meets in some (key, i, j) of about 2 * small rows."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / F.lit(small))).cast("int")
-    mine = F.pmod(F.xxhash64("rep", F.lit("block")), blocks).cast("int")
-    out = rows.withColumn("b", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
-    return out.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other")).drop("b", "mine", "other")
+def in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Deal the rows of each node to `blocks` blocks, and copy them so that every two blocks meet in a node of their own."""
+    mine = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("b")).cast("int")
+    out = rows.withColumn("b", blocks.cast("int")).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b") - 1)))
+    pair = F.when(F.col("b") > 1, F.xxhash64("node", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("node"))
+    return out.withColumn("node", pair).drop("b", "mine", "other")
 
 
 def grouped(rows: DataFrame, keys: list[str], per_group: int, count: int):
@@ -264,35 +282,105 @@ def grouped(rows: DataFrame, keys: list[str], per_group: int, count: int):
     return rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))).groupBy("bucket")
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """A spanning forest of the links between classes: u, v (representatives)."""
-    nodes = branched(classes.withColumn("node", F.lit(0).cast("bigint")), TREES, LEVELS, 1)
-    leaves = None
-    for round_ in range(ROUNDS_AGAIN + 1):
-        nodes = persisted(nodes)
-        # Nodes of the same members are one: their order-free digests agree.
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members")).filter("size > 1")
-        sizes = sizes.groupBy("size", "members").agg(F.min("node").alias("node"))
-        kept = persisted(nodes.join(sizes.select("node", "size"), "node"))
-        last = round_ == ROUNDS_AGAIN
-        small = kept if last else kept.filter(F.col("size") <= LARGE)
-        leaves = small if leaves is None else leaves.unionByName(small)
-        large = kept.filter(F.col("size") > LARGE)
-        if last or large.isEmpty():
-            break
-        nodes = branched(large.join(classes.select("rep", "sig"), "rep"), TREES_AGAIN, LEVELS_AGAIN, 2 + round_)
-    rows = in_blocks(leaves, "node", "size", IN_NODE).join(low_bytes(classes), "rep")
-    forests = grouped(rows, ["node", "i", "j"], 20_000, leaves.count()).applyInPandas(lambda pdf: node_forests(pdf, percent), "u bigint, v bigint")
-    clusters = connected_components(forests).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    clusters = persisted(clusters)
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
+def with_size(nodes: DataFrame) -> DataFrame:
+    """Nodes of at least two members, with their size; of nodes of the same members, one (their order-free digests agree)."""
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members")).filter("size > 1")
+    one = sizes.groupBy("size", "members").agg(F.min("node").alias("node"))
+    return nodes.join(one.select("node", "size"), "node")
+
+
+def confirmed(pairs: DataFrame, data: DataFrame, test: Callable[[dict, dict], bool]) -> DataFrame:
+    """The pairs (anchor, rep) whose rows of `data` (rep and what `test` looks at) pass.
+
+    An anchor meets its partners in chunks, about as many in all as a thousandth
+    of the pairs, so that no group grows with an anchor's partners.
+    """
+    pairs = persisted(pairs)
+    count = pairs.count()
+    dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit("chunk")), F.lit(count // 1000 + 1)))
+    others = dealt.join(data, "rep")
+    anchors = dealt.select("anchor", "chunk").distinct().join(data.withColumnRenamed("rep", "anchor"), "anchor").withColumn("rep", F.col("anchor"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.to_dict("records")
+        middle = {(r["anchor"], r["chunk"]): r for r in rows if r["rep"] == r["anchor"]}
+        found = [(r["anchor"], r["rep"]) for r in rows if r["rep"] != r["anchor"] and test(middle[r["anchor"], r["chunk"]], r)]
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return grouped(others.unionByName(anchors), ["anchor", "chunk"], SETS_AT_ONCE, 2 * count).applyInPandas(run, "u bigint, v bigint")
+
+
+def by_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (node, rep, tree) with their component so far, without the nodes that hold one alone."""
+    known = found.select(F.col("node").alias("rep"), "component")
+    marked = persisted(rows.select("node", "rep", "tree").join(known, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
+    several = marked.groupBy("node").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("node")
+    return marked.join(several, "node", "left_semi")
 
-    def sets(part: dict[str, list]) -> dict[str, list]:
-        return {"rep": part["rep"], "shingles": [s.tobytes() for s in shingles(part["text"], k)]}
 
-    texts = docs.select(F.col(doc_id).cast("bigint").alias("rep"), F.col(text).alias("text")).filter("text is not null").join(clusters.select("rep"), "rep", "left_semi")
-    full = in_blocks(sized, "cluster", "size", IN_CLUSTER).join(map_rows(texts, sets, "rep bigint, shingles binary"), "rep")
-    return grouped(full, ["cluster", "i", "j"], 2_000, clusters.count()).applyInPandas(lambda pdf: cluster_forests(pdf, percent), "u bigint, v bigint")
+def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The components of the links between classes: node (representative) and component."""
+    low = low_bytes(classes)
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        wanted = classes.join(reps.distinct(), "rep", "left_semi").select("rep", "doc", "k1", "k2")
+        texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("text is not null")
+
+        def sets(part: dict[str, list]) -> dict[str, list]:
+            found = [(r, s.tobytes()) for r, a, b, s in zip(part["rep"], part["k1"], part["k2"], shingles(part["text"], k), strict=True) if digest(s) == (a, b)]
+            return {"rep": [r for r, _ in found], "shingles": [s for _, s in found]}
+
+        # An id may stand for several texts, and a row may be repeated.
+        return persisted(map_rows(texts.join(wanted, "doc"), sets, "rep bigint, shingles binary").dropDuplicates(["rep"]))
+
+    def similar(a: dict, b: dict) -> bool:
+        agree = (np.frombuffer(a["low"], np.uint8) == np.frombuffer(b["low"], np.uint8)).sum()
+        return bool(passes(a["n"], b["n"], agree, percent))
+
+    def equal_enough(a: dict, b: dict) -> bool:
+        return are_linked(np.frombuffer(a["shingles"], np.uint64), np.frombuffer(b["shingles"], np.uint64), percent)
+
+    nodes = persisted(branched(classes.select("rep", "sig", F.lit(0).cast("bigint").alias("node"), F.lit(None).cast("smallint").alias("tree")), TREES, LEVELS, 1))
+    kept = persisted(with_size(nodes))
+    small, large = kept.filter(F.col("size") <= LARGE), kept.filter(F.col("size") > LARGE)
+    links = docs.sparkSession.createDataFrame([], "u bigint, v bigint")
+    for round_ in range(ROUNDS):
+        if large.isEmpty():
+            break
+        anchors = large.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep")).alias("anchor"))
+        pairs = large.join(anchors, "node").filter("rep <> anchor").select("anchor", "rep").distinct()
+        near = persisted(confirmed(pairs, low, similar)).select(F.col("u").alias("anchor"), F.col("v").alias("rep"))
+        links = links.unionByName(persisted(confirmed(near, sets_of(near.select("rep").unionByName(near.select(F.col("anchor").alias("rep")))), equal_enough)))
+        left = by_component(large, connected_components(links))
+        nodes = persisted(branched(left.join(classes.select("rep", "sig"), "rep"), TREES_AGAIN, LEVELS_AGAIN, 2 + round_))
+        kept = persisted(with_size(nodes))
+        small, large = small.unionByName(kept.filter(F.col("size") <= LARGE)), kept.filter(F.col("size") > LARGE)
+    else:
+        small = small.unionByName(in_blocks(large, F.ceil(F.col("size") * 2 / LARGE)))
+
+    def still_open(rows: DataFrame, found: DataFrame, seen: DataFrame) -> DataFrame:
+        rows = persisted(by_component(rows, found).join(low, "rep").join(seen, "rep", "left"))
+        groups = grouped(rows, ["node"], SIGNATURES_AT_ONCE, rows.count())
+        return persisted(groups.applyInPandas(lambda pdf: open_members(pdf, percent), "node bigint, rep bigint, tree smallint"))
+
+    found = connected_components(links)
+    seen = classes.select("rep", F.array().cast("array<bigint>").alias("seen")).limit(0)
+    alive = still_open(small, found, seen)
+    sets, met = sets_of(alive.select("rep")), None
+    for first, last in zip((0, *BATCHES), BATCHES, strict=False):
+        pool = alive.filter((F.col("tree") >= first) & (F.col("tree") < last))
+        if met is not None:
+            seen = met.groupBy("rep").agg(F.collect_set("node").alias("seen"))
+            pool = still_open(pool, found, seen)
+        if pool.isEmpty():
+            continue
+        met = pool.select("rep", "node") if met is None else met.unionByName(pool.select("rep", "node"))
+        sized = pool.join(classes.select("rep", "n"), "rep")
+        heavy = sized.groupBy("node").agg(F.ceil(F.sum("n") / SHINGLES_AT_ONCE).alias("blocks"))
+        full = in_blocks(pool.join(heavy, "node"), F.col("blocks")).select("node", "rep").join(sets, "rep")
+        new = persisted(grouped(full, ["node"], SETS_AT_ONCE, pool.count()).applyInPandas(lambda pdf: node_links(pdf, percent), "u bigint, v bigint"))
+        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
+    return found
 
 
 def low_bytes(classes: DataFrame) -> DataFrame:
@@ -308,13 +396,17 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_
     """One row per row of `df`: doc_id, n_shingles, component_id and kept."""
     rows = persisted(shingled(df, k, doc_id, text))
     keyed = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = persisted(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
-    found = connected_components(links(df, classes, k, percent, doc_id, text)).select(F.col("node").alias("rep"), "component")
-    labels = classes.select("k1", "k2", "rep").join(found, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    classes = persisted(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    classes = classes.withColumn("rep", F.monotonically_increasing_id())
+    found = linked(df, classes, k, percent, doc_id, text)
+    named = classes.select(F.col("rep").alias("node"), "doc", "k1", "k2").join(found, "node")
+    least = persisted(named.groupBy("component").agg(F.min("doc").alias("least")))
+    joined = named.join(least, "component").select("k1", "k2", "least")
+    labels = classes.select("k1", "k2", "doc").join(joined, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("least", "doc").alias("component"))
     out = keyed.select("doc_id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"])
     alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     out = out.select("doc_id", "n_shingles", "component").unionByName(alone)
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def op7_near_dup(spark, sf_dir: str) -> DataFrame:
