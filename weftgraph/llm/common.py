@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of a text column that one Arrow slice hands to a kernel; long texts make shorter slices.
 SLICE_ROWS = 2048
@@ -18,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list] | None], schema: str, setup: Callable | None = None) -> DataFrame:
+def map_rows(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list] | None], schema: str | StructType, setup: Callable | None = None) -> DataFrame:
     """Apply `kernel` to slices of rows, given as a dict of Python lists, and return a dict of lists.
 
     Slices are bounded in rows and bytes, so a batch of very long texts is
@@ -49,18 +51,22 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def to_arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def to_arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema as convert
     from pyspark.sql.types import _parse_datatype_string
 
-    return convert(_parse_datatype_string(schema))
+    return convert(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared spark.checkpoint.dir; set a local one only where none is configured (tests)."""
+    """Use the session's spark.checkpoint.dir, a folder that driver and executors share; without one, a local[...] master alone gets one of its own."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/weftgraph-checkpoints")
+    if sc.getCheckpointDir() is not None:
+        return
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftgraph-"))
 
 
 def persisted(df: DataFrame) -> DataFrame:
@@ -74,5 +80,10 @@ def remainder(column, divisor: int):
     return F.crc32(column.cast("string").cast("binary")) % divisor
 
 
+def held_out(column, divisor: int, value: int = 0):
+    """Whether an id's remainder is `value`; a null id is never learned from, and so counts as held out."""
+    return F.coalesce(remainder(column, divisor) == value, F.lit(True))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
