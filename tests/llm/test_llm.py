@@ -193,13 +193,33 @@ def test_gif_query(odd):
 
 
 def test_language_held_out_accuracy(spark, docs):
-    learn = zlib.crc32
-    model = classify.language_model(docs, classify.remainder(F.col("doc_id"), 5) != 0)
-    got = classify.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
-    held = [r for r in got if learn(str(r.doc_id).encode()) % 5 == 0]
+    got = classify.op10_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    held = [r for r in got if r.held_out]
     assert np.mean([r.lang == r.lang_pred for r in held]) > 0.9 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_tiny_shares_still_give_a_sample(spark):
+    rows = spark.range(8_000_000).select(F.col("id").alias("key"), (F.col("id") % 2).alias("label"))
+    few, labels = classify.sampled(rows, "label", 3, "key")
+    assert labels == 2 and 1 <= few.count() <= 20  # shares under 1e-6
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(classify, "MOST_LABELS", 5)
+    with pytest.raises(ValueError):
+        classify.sampled(spark.range(9).withColumnRenamed("id", "key").withColumn("label", F.col("key")), "label", 3, "key")
+
+
+def test_null_ids_are_held_out(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "some words", "en"), (1, "some other words", "en")], "doc_id long, text string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (classify.op8_quality, classify.op10_language_id):
+        got = {r.doc_id: r for r in query(spark, str(tmp_path)).collect()}
+        assert got[None].held_out and got[None].score is not None
+
+
 def test_language_of_odd_texts(spark, docs, odd):
     model = classify.language_model(docs, F.lit(True))
     got = classify.identify(odd, model).collect()
@@ -211,9 +231,10 @@ def test_language_of_odd_texts(spark, docs, odd):
 
 def test_quality_scores(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = classify.quality_model(docs, labels, F.lit(True))
-    got = classify.score_quality(docs, model).join(labels, "doc_id").collect()
+    got = classify.op8_quality(spark, SF).join(labels, "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     assert np.mean([r.predicted == r.quality for r in got]) > 0.85
+    model = classify.quality_model(docs, labels, F.lit(True))
     assert len(classify.score_quality(odd, model).collect()) == odd.count()
     none = classify.score_quality(odd, classify.quality_model(docs, labels.limit(0), F.lit(True))).collect()
     assert {r.score for r in none} == {0.5}
@@ -340,23 +361,51 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert got == want
 
 
-def test_large_nodes_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "IN_NODE", 8)
-    monkeypatch.setattr(near_dup, "IN_CLUSTER", 8)
+@pytest.mark.parametrize(("rounds", "held"), [(8, 8_000_000), (1, 400)])
+def test_large_nodes_lose_nothing(spark, monkeypatch, rounds, held):
     monkeypatch.setattr(near_dup, "LARGE", 20)
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dup, "SHINGLES_AT_ONCE", held)
     rng = random.Random(9)
-    base = [f"w{i}" for i in range(150)]
     rows = []
-    for i in range(60):
-        words = base.copy()
-        for _ in range(rng.randint(0, 8)):
-            words[rng.randrange(len(words))] = f"x{rng.randint(0, 99)}"
-        rows.append((i, " ".join(words)))
+    for group in range(3):
+        base = [f"w{rng.randint(0, 300) if i > 60 else i}" for i in range(150)]  # groups share a passage
+        for i in range(40):
+            words = base.copy()
+            for _ in range(rng.randint(0, 11)):
+                words[rng.randrange(len(words))] = f"x{rng.randint(0, 99)}"
+            rows.append((100 * group + i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute_components(rows, 4, 80)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(df, 4).collect()} == want
 
 
+def test_recall_of_links_in_groups_of_near_copies(spark):
+    """Links that alone hold two documents together, at similarities from 0.80 up: nearly all are found."""
+    rng = random.Random(4)
+    rows, want = [], 0
+    for i in range(400):
+        words = [f"g{i % 7}w{j}" for j in range(60)] + [f"p{i}w{j}" for j in range(140)]  # pairs share a passage with many others
+        other = words.copy()
+        for at in range(65, 65 + 5 * (i % 5) + 1, 5):
+            other[at] = f"x{i}y{at}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    sets = brute_components(rows, 4, 80)
+    want = {i for i, (_, c) in sets.items() if c != i}
+    got = {r.doc_id: r.component_id for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert len(want) > 300 and all(got[i] in (i, sets[i][1]) for i in got)
+    found = sum(got[i] == sets[i][1] for i in want) / len(want)
+    print("recall", found, "of", len(want))
+    assert found >= 0.99
+
+
+def test_one_id_with_several_texts_and_null_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, "something else altogether"), (2, text), (3, text + " more"), (None, text), (4, "something else altogether")]
+    got = near_dup.components(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == [(0, 37, 0, True), (1, 1, 1, True), (1, 37, 1, True), (2, 37, 1, False), (3, 38, 1, False), (4, 1, 1, False)]
+
+
 def test_near_duplicates_of_repeats_and_nothing(odd):
     got = near_dup.components(odd, 4).collect()
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id in (3, 4)} == {3}

@@ -47,3 +47,19 @@ def test_quality_drops_what_the_classifier_predicts_to_be_bad(spark):
     kept = {r.doc_id for r in corpus_pipeline.good(spark, planted, SF).collect()}
     assert any(0.3 <= s < 0.5 for s in score.values())
     assert kept == {i for i, s in score.items() if s >= 0.5}
+
+
+def test_stages_of_nothing_and_of_clashing_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    none = docs.limit(0)
+    named = docs.limit(40).withColumn("keep0", F.lit("x")).withColumn("rep", F.lit(1)).withColumn("component", F.lit(1)).withColumn("spans", F.lit(1))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        none, named = persisted(stage(spark, none, SF)), persisted(stage(spark, named, SF))
+        assert none.count() == 0 and none.columns == docs.columns and named.columns == [*docs.columns, "keep0", "rep", "component", "spans"]
+    assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "one text of some words here"), (1, "quite another text with more words"), (2, "one text of some words here"), (2, "one text of some words here"), (None, "x y")], "doc_id long, text string")
+    got = corpus_pipeline.deduplicated(spark, docs, SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "x y"), (1, "one text of some words here"), (1, "quite another text with more words")]
