@@ -4,13 +4,16 @@ Language ID drops what it rejects, the quality classifier drops what it
 predicts to be bad, near-dedup keeps one document of each group, the secret
 scan masks what it finds, and packing returns the pieces with their sequences.
 A null text is rejected by the first stage. Every stage but the last returns
-the columns of its input, in order; extra columns ride along.
+the columns of its input, in order; extra columns ride along, whatever their
+names. A null id is kept by near-dedup, as no document is known to be its copy.
+An empty table goes through all stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from weftgraph.llm.classify import LETTER, language_model, quality_model
 from weftgraph.llm.common import map_rows, persisted, table
@@ -30,7 +33,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def judge(rows: dict[str, list], m) -> dict[str, list]:
         texts = [t or "" for t in rows["text"]]
         score = m.probabilities(texts).max(axis=1).tolist() if m.classes else [1.0] * len(texts)
-        return rows | {"__keep": [LETTER.search(t) is not None and s >= m.reject_below for t, s in zip(texts, score, strict=True)]}
+        return {"keep": [LETTER.search(t) is not None and s >= m.reject_below for t, s in zip(texts, score, strict=True)]}
 
     return filtered(docs, judge, held)
 
@@ -42,16 +45,20 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def judge(rows: dict[str, list], m) -> dict[str, list]:
         texts = [t or "" for t in rows["text"]]
         score = m.probabilities(texts)[:, m.classes.index("1")].tolist() if "1" in m.classes else [1.0] * len(texts)
-        return rows | {"__keep": [s >= BAD_BELOW for s in score]}
+        return {"keep": [s >= BAD_BELOW for s in score]}
 
     return filtered(docs, judge, held)
 
 
 def filtered(docs: DataFrame, judge, held) -> DataFrame:
-    from pyspark.sql.types import BooleanType, StructField, StructType
+    """The rows that `judge` keeps, by its answers to their texts."""
+    flag = next(c for n in range(len(docs.columns) + 1) if (c := f"keep{n}") not in docs.columns)
+    shape = StructType([*docs.schema.fields, StructField(flag, BooleanType())])
 
-    shape = StructType([*docs.schema.fields, StructField("__keep", BooleanType())])
-    return map_rows(docs, judge, shape.simpleString()[len("struct<") : -1], setup=lambda: held.value).filter("__keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    def kernel(rows: dict[str, list], m) -> dict[str, list]:
+        return rows | {flag: judge(rows, m)["keep"]}
+
+    return map_rows(docs, kernel, shape, setup=lambda: held.value).filter(flag).drop(flag)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
