@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -35,7 +36,7 @@ from .common import map_rows, table
 
 #: Entries of a worker's tables, and the longest unit kept there. Tables are emptied when full.
 TRANSITIONS = 400_000
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 500_000
 LONGEST_CACHED = 64
 #: Bytes read before the transducer looks for tokens to emit.
 HELD_BACK = 4096
@@ -58,6 +59,7 @@ class Transducer:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.prefixes = {b[:n] for b in ranks for n in range(len(b))}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.splits: dict[int, tuple[int, int] | None] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -73,16 +75,18 @@ class Transducer:
             self.states.append(key)
         return n
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """BPE by its definition: join the adjacent pair of the lowest rank, leftmost first, until none is left."""
-        parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(parts) > 1:
-            best = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best[0] == 1 << 60:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+    def split(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes `token`; (-1, -1) for a byte, None for a token that its own bytes do not encode to."""
+        if token not in self.splits:
+            data, ranks = self.bytes_of[token], self.ranks
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                best, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if best == 1 << 60:
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            self.splits[token] = (-1, -1) if len(data) == 1 else (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
+        return self.splits[token]
 
     def fits(self, last: int, token: int) -> bool:
         """Whether `token` may follow `last` (-1: nothing)."""
@@ -91,20 +95,41 @@ class Transducer:
         if ok is None:
             if len(self.pairs) > TRANSITIONS:
                 self.pairs.clear()
-            want = [self.bytes_of[t] for t in key if t >= 0]
-            ok = self.pairs[key] = self.merged(b"".join(want)) == want
+            ok = self.pairs[key] = self.split(token) is not None and (last < 0 or self.split(last) is not None and self.compatible(last, token))
         return ok
 
+    def compatible(self, left: int, right: int) -> bool:
+        """Whether no merge joins two tokens over their border.
+
+        Merges run by rank, leftmost first. Undoing those within both tokens, the
+        latest first, gives each pair of parts that ever met at the border, and
+        the rank up to which they did: a pair of a lower rank would have merged.
+        """
+        ranks, bytes_of, limit = self.ranks, self.bytes_of, 1 << 60
+        while True:
+            if ranks.get(bytes_of[left] + bytes_of[right], 1 << 60) < limit:
+                return False
+            inner_left, inner_right = self.split(left)[1], self.split(right)[0]
+            if inner_left >= 0 and (left > right or inner_right < 0):
+                limit, left = left, inner_left  # of equal merges, the left one was first
+            elif inner_right >= 0:
+                limit, right = right + 1, inner_right
+            else:
+                return True
+
     def move(self, state: int, byte: int) -> tuple[int, int]:
         """Determinise one transition: the next state and the last token of the prefix read so far."""
         window, last = self.states[state]
         window += bytes((byte,))
-        for k in range(len(window)):
-            token = self.ranks.get(window[k:])
-            if token is not None and self.fits(last[k], token):
+        find, pairs = self.ranks.get, self.pairs.get
+        for k, before in enumerate(last):
+            token = find(window[k:])
+            if token is not None and (pairs((before, token)) or self.fits(before, token)):
                 break
         last = (*last, token)
-        cut = next(k for k in range(len(window) + 1) if window[k:] in self.prefixes)
+        cut, prefixes = 0, self.prefixes
+        while window[cut:] not in prefixes:
+            cut += 1
         return self.state((window[cut:], last[cut:])), token
 
     def encode(self, data: bytes) -> list[int]:
@@ -114,19 +139,18 @@ class Transducer:
             return [whole]
         if len(self.moves) > TRANSITIONS or len(self.states) > TRANSITIONS:
             self.reset()
-        moves, state, out, path, full = self.moves, self.start, [], [], HELD_BACK
-        for byte in data:
-            key = state << 8 | byte
-            step = moves.get(key)
-            if step is None:
-                step = moves[key] = self.move(state, byte)
-            state, token = step
-            path.append(token)
-            if len(path) >= full:
+        find, state, out, path = self.moves.get, self.start, [], []
+        for at in range(0, len(data), HELD_BACK):
+            for byte in data[at : at + HELD_BACK]:
+                step = find(state << 8 | byte)
+                if step is None:
+                    step = self.moves[state << 8 | byte] = self.move(state, byte)
+                state, token = step
+                path.append(token)
+            if at + HELD_BACK < len(data):
                 done, used = self.certain(path, len(self.states[state][0]))
                 out += done
                 del path[:used]
-                full = len(path) + HELD_BACK
         return out + self.back(path, len(path))
 
     def back(self, path: list[int], end: int) -> list[int]:
@@ -146,39 +170,29 @@ class Transducer:
         return ways[0][:shared], sum(len(self.bytes_of[t]) for t in ways[0][:shared])
 
 
-class Encoder:
+class Encoder(dict):
     """Texts to token ids, each pattern match separately, as decimal strings.
 
-    A text is cut before every space that a non-space follows. No match of the
-    pattern crosses such a cut, nor does its look-ahead see past it, so units
-    can be encoded once and looked up again. A text in which white space meets
-    such a cut in another way is matched as a whole.
+    The table's entries are matches; what it lacks is encoded and kept. Matches
+    are far fewer than the strings between spaces, which carry their punctuation.
     """
 
     def __init__(self, path: str, pattern: str):
+        super().__init__()
         self.transducer = Transducer(read_ranks(path))
         self.pattern = regex.compile(pattern)
-        self.cache: dict[str, str | None] = {}
 
-    def unit(self, text: str) -> str:
-        return " ".join([str(i) for m in self.pattern.findall(text) for i in self.transducer.encode(m.encode())])
+    def __missing__(self, match: str) -> str:
+        ids = " ".join(map(str, self.transducer.encode(match.encode())))
+        if len(match) <= LONGEST_CACHED:
+            self[match] = ids
+        return ids
 
     def ids(self, text: str) -> str:
         """The text's ids in decimal, joined by one space."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        first, *units = text.split(" ")
-        cache, out = self.cache, [self.unit(first)] if first else []
-        for word in units:
-            ids = cache.get(word)
-            if ids is None:
-                if not word or word[0].isspace():
-                    return self.unit(text)
-                ids = self.unit(" " + word)
-                if len(word) <= LONGEST_CACHED:
-                    cache[word] = ids
-            out.append(ids)
-        return " ".join(out)
+        if len(self) > CACHE_ENTRIES:
+            self.clear()
+        return " ".join(map(self.__getitem__, self.pattern.findall(text)))
 
 
 class Decoder:
@@ -198,8 +212,15 @@ class Decoder:
 
 @lru_cache(maxsize=2)
 def machines(path: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """One pair for each Python worker, kept between tasks."""
-    return Encoder(path, pattern), Decoder(path)
+    """One pair for each Python worker, kept between tasks.
+
+    The tables live as long as the worker and hold no cycles, so the collector
+    need not walk them again and again.
+    """
+    pair = Encoder(path, pattern), Decoder(path)
+    gc.freeze()
+    gc.set_threshold(200_000, 50, 50)
+    return pair
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
