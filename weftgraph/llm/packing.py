@@ -7,10 +7,14 @@ blocks of about BLOCK_PIECES; each block is packed by several islands, each of
 which evolves a population of packings: a child takes over the well-filled bins
 of one parent, drops the other parent's bins that hold any of the same pieces,
 and best-fits the displaced pieces. Between epochs each island's elite moves to
-the next island of its block. The block's best packing is used. A group is
-always one block, whatever the distribution of ids, sources or lengths.
-
-Null and empty texts are one piece of the separator alone. Repeated rows are
+the next island of its block. Of a block's best packing, the emptiest bins are
+opened again: their pieces and those of FAN blocks make a block of the next
+level, until one block is left, so that what blocks waste does not add up. A
+group is always one block, whatever the distribution of ids, sources or lengths.
+
+Texts are tokenized by a regular-expression form of the file's byte-level BPE,
+which is the faster one; texts with very long white space, which that form
+cannot match, by the file's own library. Null and empty texts are one piece of the separator alone. Repeated rows are
 packed as often as they come; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -18,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -30,11 +35,17 @@ from .common import map_rows, persisted, table
 
 CAPACITY = 1024
 SEPARATOR = 2
-BLOCK_PIECES = 4096
+BLOCK_PIECES = 8192
 ISLANDS = 2
 EPOCHS = 2
 POPULATION = 4
 CHILDREN = 6
+#: Times as many children at later levels, which hold a small part of the pieces and most of the waste.
+LATER_CHILDREN = 20
+#: Blocks that hand their emptiest bins to one block of the next level.
+FAN = 16
+#: White space that goes to the file's own library.
+LONG_SPACE = re.compile(r"\s{1000}")
 #: A bin is well filled, and so injected, if no more than this share of it is free.
 WELL_FILLED = 1 / 256
 
@@ -42,6 +53,20 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+def ids_of(text: str, path: str) -> np.ndarray:
+    """The ids that the tokenizer file's library gives to a text, without added special tokens."""
+    if LONG_SPACE.search(text):
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, "<u4")
+    return tokenizer(path).encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The byte-level BPE of a tokenizer file, with its pattern and special tokens as the file's library treats them."""
@@ -68,18 +93,18 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents, each followed by the separator."""
 
-    def kernel(rows: dict[str, list], encoding) -> dict[str, list]:
+    def kernel(rows: dict[str, list]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         end = SEPARATOR.to_bytes(4, "little")
         for i, t in zip(rows["doc_id"], rows["text"], strict=True):
-            ids = encoding.encode_to_numpy(t or "", allowed_special="all").astype("<u4").tobytes() + end
+            ids = ids_of(t or "", path).tobytes() + end
             for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                 for k, v in zip(out, (i, n, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)])), strict=True):
                     out[k].append(v)
         return out
 
     source = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(source, kernel, PIECES, setup=lambda: tokenizer(path))
+    return map_rows(source, kernel, PIECES)
 
 
 class Packing:
@@ -183,14 +208,20 @@ def evolve(size: list[int], given: list[Packing], seed: int, capacity: int = CAP
     return found[0]
 
 
-def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of every document, with its sequence and its place there."""
-    cuts = persisted(pieces(df, path, doc_id, text, capacity)).withColumn("uid", F.monotonically_increasing_id())
-    full = cuts.filter(F.col("length") == capacity).select("*", (2 * F.col("uid") + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")).drop("uid")
-    parts = cuts.filter(F.col("length") < capacity)
-    blocks = max(1, -(-parts.count() // BLOCK_PIECES))
-    parts = parts.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
-    sizes = parts.select("block", "uid", "length").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).repartition(min(2 * blocks, 4096), "block", "island")
+def emptiest(fill: np.ndarray, members: np.ndarray, capacity: int, quota: int) -> np.ndarray:
+    """Which bins to open again: those with room, the emptiest first, of about `quota` pieces in all; one at least."""
+    order = np.argsort(fill, kind="stable")
+    before = np.cumsum(members[order]) - members[order]
+    opened = np.zeros(len(fill), bool)
+    opened[order[(before + members[order] <= quota) | (before == 0)]] = True
+    return opened & (fill < capacity)
+
+
+def block_packing(parts: DataFrame, blocks: int, level: int, capacity: int) -> DataFrame:
+    """Pack each block of pieces (uid, block and PIECES): adds sequence_id, offset, and whether the sequence is opened for the next level."""
+    sizes = parts.select("block", "uid", "length").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))))
+    groups = ISLANDS * blocks
+    sizes = sizes.repartition(max(min(groups, 1024), groups // 64), "block", "island")
     shape = "block bigint, island int, bins bigint, packing binary"
 
     def first(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
@@ -201,7 +232,8 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
 
     def bred(key: tuple, items: pd.DataFrame, elites: list[bytes]) -> pd.DataFrame:
         size = items.sort_values("uid")["length"].tolist()
-        best = evolve(size, [Packing.decoded(e, size) for e in elites], int(key[0]) * 1009 + int(key[1]) * 31 + len(elites), capacity)
+        children = CHILDREN * (LATER_CHILDREN if level else 1)
+        best = evolve(size, [Packing.decoded(e, size) for e in elites], int(key[0]) * 1009 + int(key[1]) * 31 + len(elites) + 7919 * level, capacity, children=children)
         return pd.DataFrame({"block": [key[0]], "island": [key[1]], "bins": [len(best.bins)], "packing": [best.encoded(len(size))]})
 
     elites = sizes.groupBy("block", "island").applyInPandas(first, shape)
@@ -213,13 +245,30 @@ def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", c
 
     def placed(key: tuple, items: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values("uid", ignore_index=True)
-        at = pd.Series(np.frombuffer(chosen["packing"].iloc[0], "<i4")).astype("int64")
-        items["sequence_id"] = 2 * (at + (int(key[0]) << 24))
+        at = np.frombuffer(chosen["packing"].iloc[0], "<i4").astype(np.int64)
+        items["sequence_id"] = 2 * (at + (int(key[0]) << 24) + (level << 58))
         items["offset"] = items.groupby("sequence_id")["length"].cumsum() - items["length"]
-        return items[[c.split()[0] for c in PACKED.split(", ")]]
+        opened = emptiest(np.bincount(at, items["length"]), np.bincount(at), capacity, BLOCK_PIECES // FAN if blocks > 1 else -1)
+        items["open"] = opened[at] & (blocks > 1)
+        return items[["uid", "block", *(c.split()[0] for c in PACKED.split(", ")), "open"]]
+
+    return parts.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(placed, f"uid bigint, block bigint, {PACKED}, open boolean")
+
 
-    rest = parts.groupBy("block").cogroup(best.groupBy("block")).applyInPandas(placed, PACKED)
-    return full.unionByName(rest)
+def pack(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece of every document, with its sequence and its place there."""
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    cuts = persisted(pieces(df, path, doc_id, text, capacity)).withColumn("uid", F.monotonically_increasing_id())
+    done = cuts.filter(F.col("length") == capacity).withColumns({"sequence_id": 2 * F.col("uid") + 1, "offset": F.lit(0).cast("bigint")}).select(names)
+    parts = cuts.filter(F.col("length") < capacity)
+    blocks, level = max(1, -(-parts.count() // BLOCK_PIECES)), 0
+    parts = parts.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)))
+    while blocks > 1:
+        packed = persisted(block_packing(parts, blocks, level, capacity))
+        done = done.unionByName(packed.filter("not open").select(names))
+        parts = packed.filter("open").drop("sequence_id", "offset", "open").withColumn("block", F.floor(F.col("block") / FAN))
+        blocks, level = -(-blocks // FAN), level + 1
+    return done.unionByName(block_packing(parts, 1, level, capacity).select(names))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
