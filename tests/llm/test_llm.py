@@ -310,6 +310,37 @@ def test_packing_is_whole(spark, docs, odd):
         assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 1024) * 1.03 + 1
 
 
+def test_blocks_waste_no_more_than_best_fit(spark, monkeypatch):
+    """Over many tiny blocks and three levels, every piece is packed once; best-fit decreasing over all pieces at once needs two thousandths less at most."""
+    monkeypatch.setattr(packing, "BLOCK_PIECES", 160)
+    monkeypatch.setattr(packing, "FAN", 3)
+    rng = random.Random(2)
+    rows = [(i, "a b " * rng.randint(0, 700)) for i in range(1500)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json")).toPandas()
+    assert not got.duplicated(["doc_id", "piece"]).any()
+    for _, g in got.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["length"].sum() <= 1024 and (g["offset"] == g["length"].cumsum() - g["length"]).all()
+    size = got["length"].tolist()
+    plain = packing.Packing([], [])
+    plain.best_fit(sorted(range(len(size)), key=lambda i: -size[i]), size, 1024)
+    print("sequences", got["sequence_id"].nunique(), "best-fit", len(plain.bins), "bound", -(-sum(size) // 1024))
+    assert got["sequence_id"].nunique() <= 1.002 * len(plain.bins)
+
+
+def test_pieces_of_odd_texts_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    special = list(lib.get_added_tokens_decoder().values())
+    texts = [*strings(500, 11), *(f"a{t.content} b{t.content}{t.content}" for t in special), " " * 5000 + "x", "\n" * 1500, "\t" * 999 + "y"]
+    for t in texts:
+        assert packing.ids_of(t, P.path("byte_bpe_50k.json")).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t[:60])
+    long = spark.createDataFrame([(1, " " * 2_000_000)], "doc_id long, text string")
+    got = packing.pack(long, P.path("byte_bpe_50k.json")).agg(F.sum("length")).first()[0]
+    assert got == len(lib.encode(" " * 2_000_000, add_special_tokens=False).ids) + 1
+
+
 def test_crossover_keeps_every_piece():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 1024, 300).tolist()
@@ -467,7 +498,7 @@ def test_neighbours_of_near_copies_and_beside_an_outlier(spark, case):
 
 def test_base_scores_are_exact(spark, docs, odd):
     df = docs.select("doc_id", "text").union(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
-    got = mixing.score(df, mixing.remainder(F.col("doc_id"), 10) != 0).collect()
+    got = mixing.score(df, ~mixing.held_out(F.col("doc_id"), 10)).collect()
     counts, total = Counter(), 0
     rows = df.collect()
     for r in rows:
@@ -485,7 +516,8 @@ def test_base_scores_are_exact(spark, docs, odd):
         assert r.score <= 0
         if r.doc_id < 10**6 and not zlib.crc32(str(r.doc_id).encode()) % 10:
             held = [held[0] + r.score, held[1] + r.base_score]
-    assert held[0] > 1.08 * held[1]  # close to the base even where there is little to learn from
+    print("held-out score and base", held)
+    assert held[0] > held[1]  # better than the base even where there is little to learn from
 
 
 def test_tables_are_summed_in_a_tree(spark, docs, monkeypatch):
@@ -495,10 +527,61 @@ def test_tables_are_summed_in_a_tree(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_IN", 2)
     deep = mixing.gathered(rows, [b"the", b"of"], classes)
     words = Counter(w for t in texts_of(docs).values() for w in mixing.words_of(t))
-    assert (flat[0] == deep[0]).all() and flat[1].tolist() == deep[1].tolist() == [words[b"the"], words[b"of"], docs.count()]
+    assert (flat[0].stretched == deep[0].stretched).all() and np.allclose(flat[0].weights.mix, deep[0].weights.mix)
+    assert flat[1].tolist() == deep[1].tolist() == [words[b"the"], words[b"of"], docs.count()]
     assert flat[2] == deep[2] == sum(words.values()) + docs.count()
 
 
+def test_contexts_count_what_they_stand_for():
+    """The tables of a task hold, for each context, the zeros and ones that follow it, by a plain loop over all bytes."""
+    text = "the cat. the cot, then a hat the"
+    tokens = mixing.Tokens([text])
+    model, trie = mixing.Counts(), mixing.trie_of([b"the"])
+    codes, n = np.unique(np.concatenate(tokens.firsts(np.zeros(1, np.int64))), return_counts=True)
+    model.absorb(mixing.Situations.of_firsts(codes, n.astype(float)))
+    words = Counter(mixing.words_of(text))
+    model.absorb(mixing.Situations.of_words(list(words), 0, trie, np.array(list(words.values()), float))[0])
+    total = sum(len(w) + 1 for w in mixing.words_of(text)) + 1
+    assert model.tables[:-1].sum(axis=(1, 2)).tolist() == [8 * total] * 4
+    # After "the", of four times: a space three times, an "n" once.
+    s, owner = mixing.Situations.of_words([b"the"], 0, trie)
+    place = s.place[2]
+    at, ones = s.slots(0)
+    assert not ones[place] and model.tables[2, 0, at[2][place]] == 4
+    at, ones = s.slots(1)
+    assert (model.tables[2, 0, at[2][place]], model.tables[2, 1, at[2][place]]) == (3, 1)
+
+
+def test_repeats_against_a_plain_loop():
+    rng = np.random.default_rng(3)
+    doc = np.sort(rng.integers(0, 5, 60))
+    bits, draw = rng.uniform(1, 300, 60), np.where(rng.random(60) < 0.5, rng.uniform(1, 20, 60), np.inf)
+    want = np.zeros(6)
+    for d in range(6):
+        logit, rate, weight, fate = np.log([0.03 / 0.97, 0.5, 0.5, 19.0]), 0.1, np.array([0.8, 0.2]), 0
+        for t, i in enumerate(np.flatnonzero(doc == d)):
+            x = np.array([logit[fate], math.log(rate / (1 - rate))])
+            p = 1 / (1 + math.exp(-min(12, max(-12, weight @ x))))
+            drawn, spelled = p * 2.0 ** -draw[i], (1 - p) * 2.0 ** -bits[i]
+            want[d] -= math.log2(drawn + spelled)
+            share = drawn / (drawn + spelled)
+            logit[fate] += 0.5 * (share - 1 / (1 + math.exp(-logit[fate])))
+            weight += 0.02 * (share - p) * x
+            rate = min(0.999, max(0.001, rate + (share - rate) / (t + 4)))
+            fate = (2 * fate + (share > 0.5)) % 4
+    assert np.allclose(mixing.repeated(doc, bits, draw, 6), want)
+
+
+def test_copies_in_other_texts_are_cheap(spark, docs):
+    long = docs.filter("n_chars > 1500").orderBy("doc_id").limit(20)
+    copies = long.select((F.col("doc_id") + 10**6).alias("doc_id"), "text")
+    rows = docs.select("doc_id", "text").unionByName(copies)
+    got = {r.doc_id: r for r in mixing.score(rows, F.lit(True)).collect()}
+    ids = [r.doc_id for r in long.collect()]
+    other = [r.score / r.n_tokens for i, r in got.items() if i < 10**6 and i not in ids and r.n_tokens > 100]
+    assert max(got[i].score / got[i].n_tokens for i in ids) < 0 and np.mean([got[i].score / got[i].n_tokens for i in ids]) > 0.5 * np.median(other)
+
+
 def test_numbered_words_are_the_words():
     texts = [None, "", "  a B\x0bc\x0c", "é\u3000É\xa0x \x1cy\x85", "a\ta\r\na "]
     t = mixing.Tokens(texts)
@@ -511,19 +594,21 @@ def test_no_training_rows(odd):
     assert len(got) == odd.count() and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in got)
 
 
-def test_word_costs_are_a_distribution():
-    """The costs of all two-byte beginnings of a word sum to one."""
+def test_costs_are_a_distribution():
+    """The costs of all bytes after one context sum to one."""
     rng = np.random.default_rng(1)
-    tables = rng.integers(0, 50, (mixing.INPUTS, 2, 1 << mixing.TABLE_BITS)).astype(np.uint32)
-    m = mixing.Mixer.from_counts(tables, [b"ab", b"abc"])
-    one = [bytes((b,)) for b in range(256) if b != 32]
-    bits = mixing.Bits(one, m.trie, 0)
-    first = np.flatnonzero(np.r_[True, bits.word[1:] != bits.word[:-1]])
-    total = np.zeros(len(first))
-    for bit in range(8):
-        places, ones = bits.slots(bit)
-        x, gate = m.inputs(bits, places)
-        z = (x * m.weights.astype(np.float32)[gate].T).sum(axis=0)
-        z = (z + m.refine(gate, z)[0]) / 2
-        total += np.log(mixing.squash(np.where(ones, z, -z)))[first]
-    assert 0.9 < np.exp(total).sum() <= 1.0001
+    m = mixing.Mixer.empty([b"ab", b"abc"])
+    m.stretched[:] = rng.integers(-60, 60, m.stretched.shape)
+    m.weights.mix[:] = rng.normal(0.3, 0.2, m.weights.mix.shape)
+    firsts = m.firsts(np.arange(256) + (2 << 24) + (7 << 8))
+    assert abs((2.0 ** -firsts).sum() - 1) < 1e-6
+    words = [bytes((97, b)) for b in range(256)]
+    s, owner = mixing.Situations.of_words(words, 1, m.trie)
+    second = np.array([i for i in range(len(owner)) if i == 0 or owner[i] != owner[i - 1]])
+    assert abs((2.0 ** -m.bits(s)[s.place][second]).sum() - 1) < 1e-6
+
+
+def test_held_out_follows_the_id(spark):
+    got = mixing.op1_context_mixing(spark, SF)
+    assert got.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in got.collect())
