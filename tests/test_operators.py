@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import kernels, network, paths, presence, screen, stats, tables
+from weftgraph.operators import kernels, network, paths, presence, ranking, screen, stats, tables, views
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import registry
 from weftgraph.plans.project import Project
 from weftgraph.sources import readers, writers
+from weftgraph.streaming import upserts
 
 
 def rows(df):
@@ -78,6 +79,118 @@ def test_betweenness_by_brute_force():
         assert np.allclose(kernels.betweenness(near), want)
 
 
+def test_dealt_betweenness_equals_whole(spark):
+    rng = random.Random(3)
+    pairs = [("g", f"n{rng.randint(0, 25):02}", f"n{rng.randint(0, 25):02}") for _ in range(50)] + [("h", "a", "b"), ("h", "b", "c")]
+    edges = spark.createDataFrame(pairs, "condition string, u string, v string")
+    got = {(r.condition, r.node): r.betweenness for r in kernels.dealt_betweenness(edges, ["condition"], 5).collect()}
+    for g in "gh":
+        u, v = (np.array([p[i] for p in pairs if p[0] == g]) for i in (1, 2))
+        names, near = kernels.adjacency(u, v)
+        want = kernels.betweenness(near)
+        assert all(math.isclose(got[g, n], w, abs_tol=1e-9) for n, w in zip(names, want, strict=True))
+
+
+def test_pair_synergy_of_two_triangles(spark):
+    net = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)], "u long, v long")
+    sets = spark.createDataFrame([("A", 10, t) for t in (1, 2, 3)] + [("A", 20, t) for t in (4, 5, 6)] + [("A", 30, 5)], "condition string, compound long, target long")
+    z = spark.createDataFrame([("A", 10, -2.0, 0.01), ("A", 20, -1.0, 0.5), ("A", 30, 1.0, None)], "condition string, compound long, z double, p double")
+    members = sets.select(F.col("target").alias("draw"), F.col("target").alias("node")).distinct()
+    far = paths.multi_source_hops(net, members, members).withColumnRenamed("draw", "source")
+    got = {(r.compound_a, r.compound_b): r for r in ranking.pair_synergy(z, sets, far).collect()}
+    r = got[10, 20]
+    assert math.isclose(r.d_ab, 10 / 6) and math.isclose(r.separation, 2 / 3) and r["class"] == "P4" and r.class_sign == "P2" and math.isclose(r.synergy, 1.0)
+    assert got[10, 30].singleton and got[10, 30]["class"] is None and got[10, 30].synergy is None
+
+
+def test_proximity_uses_the_largest_component_and_replaces_where_bins_are_short(spark):
+    star = [(1, i) for i in range(2, 40)] + [(40 + i, 41 + i) for i in range(5)] + [(39, 40), (100, 101)]
+    sets = spark.createDataFrame([("near", 2), ("near", 100), ("far", 44)], "name string, node long")
+    aim = spark.createDataFrame([(1,), (101,)], "node long")
+    d = paths.proximity_draws(spark.createDataFrame(star, "u long, v long"), sets, aim, n_random=20, bin_size=10)
+    seen = {r.name: (r.d, r.n_nodes) for r in d.filter("draw = 0").collect()}
+    assert seen == {"near": (1.0, 1), "far": (6.0, 1)}
+    got = {r.name: r for r in paths.proximity(None, None, None, null=d).collect()}
+    assert got["near"].d_observed == 1 and 0 < got["near"].p_empirical <= 1 and got["far"].p_empirical == 1.0
+    pool = [np.arange(3)]
+    assert len(paths.drawn_like(np.zeros(7, int), pool, np.random.default_rng(1))) == 7
+
+
+def test_route_layers(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 1), (3, 4)], "u long, v long")
+    assert dict(rows(paths.route_layers(e))) == {1: 0, 2: 1, 3: 2, 4: 3}
+
+
+def test_ids_over_many_partitions(spark):
+    df = spark.range(200_000).select(((F.col("id") * 7919) % 200_003).alias("k"), F.repeat(F.lit("x"), 200).alias("wide")).repartition(16)
+    got = tables.numbered(df, "k", "n").select("k", "n").toPandas().sort_values("k")
+    assert (got["n"].to_numpy() == np.arange(1, len(got) + 1)).all()
+    assert tables.assigned_ids(spark.range(0), "id", 3).count() == 0
+
+
+def test_swap_survives_a_crash_between_its_moves(spark, tmp_path):
+    path = str(tmp_path / "t")
+    writers.swapped(spark.range(3), path)
+    (tmp_path / "t").rename(tmp_path / "t.old")
+    writers.restored(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    writers.swapped(spark.range(1), path)
+    assert spark.read.parquet(path).count() == 1 and not (tmp_path / "t.old").exists()
+
+
+def test_preparing_compounds(spark):
+    new = spark.createDataFrame([(1, "a", "CC"), (2, "b", " CC "), (3, "c", " "), (4, "d", "N")], "k int, name string, smiles string")
+    known = spark.createDataFrame([("N",)], "smiles string")
+    assert rows(tables.prepared(new, known, "k", 9).select("name", "id")) == [("a", "C0010")]
+    with pytest.raises(ValueError):
+        tables.prepared(new, known, "k", 9, missing="abort")
+    with pytest.raises(ValueError):
+        tables.single_row(new)
+    assert tables.single_row(new.limit(1)).count() == 1
+    with pytest.raises(ValueError):
+        tables.gene_list(new, "d", "d", "s")
+
+
+def test_candidates_with_unknown_rules_and_fronts(spark):
+    df = spark.createDataFrame([(True, None, False), (None, None, None)], "a boolean, b boolean, c boolean")
+    assert [r.p for r in df.select(ranking.pass_fraction([F.col(c) for c in "abc"]).alias("p")).collect()] == [0.5, None]
+    two = spark.createDataFrame([(g, i, float(i)) for g in "xy" for i in range(2)], "condition string, i int, v double")
+    assert {(r.condition, r.i): r.pareto_front for r in ranking.ranked(two, "i", {"v": 1}).collect()} == {("x", 0): 2, ("x", 1): 1, ("y", 0): 2, ("y", 1): 1}
+    with pytest.raises(ValueError):
+        ranking.ranked(two.filter("i = 0"), "i", {"v": 1})
+
+
+def test_interaction_files(spark, tmp_path):
+    (tmp_path / "l.txt").write_text("protein1 protein2 combined_score\na b 900\nb a 900\na c 100\n")
+    assert rows(readers.links(spark, str(tmp_path / "l.txt"), 400)) == [("a", "b", 900)]
+    (tmp_path / "a.tsv").write_text("item_id_a\titem_id_b\tis_directional\ta_is_acting\tscore\na\tb\tt\t1\t900\nb\tc\tf\tt\t900\n")
+    assert rows(readers.actions(spark, str(tmp_path / "a.tsv"), 400)) == [("a", "b")]
+    with pytest.raises(ValueError):
+        readers.actions(spark, str(tmp_path / "a.tsv"), 950)
+    (tmp_path / "n.txt").write_text("#x\np1\tA\tS\n")
+    (tmp_path / "o.txt").write_text("protein alias source\np2 B S one\n")
+    assert rows(readers.aliases(spark, str(tmp_path / "n.txt"))) == [("p1", "A", "S")] and rows(readers.aliases(spark, str(tmp_path / "o.txt"))) == [("p2", "B", "S one")]
+
+
+def test_newest_row_by_key(spark, tmp_path):
+    schema = "k string, at int, x int"
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    for n, part in enumerate(([("a", 1, 1), ("b", 1, 2)], [("a", 0, 9), ("b", 2, 3)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(src))
+        q = upserts.latest_by_key(spark.readStream.schema(schema).json(str(src)), out, ["k"], "at", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    assert rows(spark.read.parquet(out).select("k", "at", "x")) == [("a", 1, 1), ("b", 2, 3)]
+
+
+def test_small_views(spark):
+    ranked = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "node string, place int")
+    links = spark.createDataFrame([("a", "c"), ("b", "z")], "u string, v string")
+    assert rows(views.connected_picks(ranked, links, 3).select("node")) == [("a",), ("c",)]
+    assert kernels.average_linkage(np.array([[0, 9, 1], [9, 0, 8], [1, 8, 0]])) == [0, 2, 1]
+    curve = spark.createDataFrame([("x", 0), ("x", 4)], "condition string, n_removed int")
+    assert rows(views.fraction_removed(curve, ["condition"]).select("fraction_removed")) == [(0.0,), (1.0,)]
+
+
 def test_separation_of_two_triangles(spark):
     pairs = [(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)]
     net = paths.both_ways(spark.createDataFrame(pairs, "u long, v long"))
@@ -167,8 +280,47 @@ def test_blocks_stay_apart():
     for a, b in [*block, *((x + 6, y + 6) for x, y in block), (0, 6)]:
         near[a].append(b)
         near[b].append(a)
-    found = kernels.louvain(near)
-    assert len(set(found[:6])) == 1 and len(set(found[6:])) == 1 and found[0] != found[6]
+    for found in (kernels.leiden(near), kernels.bipartite_modules(near)):
+        assert len(set(found[:6])) == 1 and len(set(found[6:])) == 1 and found[0] != found[6]
+    # Each block has 9 of 19 edges; the bridge joins two nodes of degree 4.
+    q = kernels.barber(near, np.array([0] * 6 + [1] * 6))
+    assert math.isclose(q, 18 / 19 - (10 * 9 + 9 * 10) / 19**2)
+
+
+def test_modules_of_random_networks_are_connected():
+    rng = random.Random(6)
+    for _ in range(10):
+        n = 30
+        near = [set() for _ in range(n)]
+        for _ in range(45):
+            a, b = rng.randrange(n), rng.randrange(n)
+            if a != b:
+                near[a].add(b)
+                near[b].add(a)
+        near = [sorted(x) for x in near]
+        found = kernels.leiden(near)
+        for c in set(found.tolist()):
+            part = np.flatnonzero(found == c)
+            new = {int(i): j for j, i in enumerate(part)}
+            assert len(set(kernels.components_of([[new[y] for y in near[i] if y in new] for i in part]).tolist())) == 1
+        assert kernels.modularity(near, found) >= kernels.modularity(near, kernels.components_of(near)) - 1e-12
+
+
+def test_hop_clusters_leave_noise():
+    near = [[1, 2], [0, 2], [0, 1, 3], [2, 4], [3]]
+    assert kernels.hop_clusters(near, 3).tolist() == [0, 0, 0, 0, -1]
+
+
+def test_module_table(spark):
+    block = [(f"c{i}", f"t{j}") for i in range(3) for j in range(3)]
+    edges = spark.createDataFrame([("g", *e) for e in [*block, *((a + "x", b + "x") for a, b in block), ("z", "y")]], "condition string, u string, v string")
+    got = kernels.module_robustness(edges, ["condition"], method="hops").orderBy("module_id").collect()
+    assert [r.n_nodes for r in got] == [6, 6, 2] and all(r.r_index_random_sd is not None for r in got)
+    for method in ("modularity", "bipartite"):  # a complete block alone has several best partitions; none goes over its bounds
+        got = kernels.module_members(edges, ["condition"], method=method).toPandas()
+        assert len(got) == 14 and got.groupby("module_id")["component"].nunique().max() == 1
+    with pytest.raises(Exception, match="not bipartite"):
+        kernels.bipartite_modules([[1, 2], [0, 2], [0, 1]])
 
 
 def test_attack_on_a_star():
@@ -225,8 +377,9 @@ def test_prediction_files(spark, tmp_path):
     (tmp_path / "Targets7.csv").write_text("Target Name,UniProt_ID,Probability\nq,P2,50\n")
     got = rows(readers.predictions(spark, str(tmp_path)).select("compound", "target", F.round("probability", 4)))
     assert got == [("12", "P1", 0.965), ("7", "P2", 0.5)]
+    (tmp_path / "Targets8.csv").write_text("Target Name,UniProt_ID,Probability\n")
     log = readers.prediction_log(spark, str(tmp_path), spark.createDataFrame([("7",)], "compound string"))
-    assert {r.path: r.ok for r in log.collect()} == {"Targets12.csv": False, "Targets7.csv": True}
+    assert {r.path: r.ok for r in log.collect()} == {"Targets12.csv": False, "Targets7.csv": True, "Targets8.csv": False}
 
 
 def test_pathway_xml(spark, tmp_path):

@@ -69,7 +69,7 @@ def motifs(edges: DataFrame, keys: Sequence[str] = ("condition",), source: str =
     """Paths a to b to c (a is not c) that close: feed-forward with a to c, feedback with c to a. A cycle gives its three rotations."""
     k = list(keys)
     e = edges.select(*k, F.col(source).alias("a"), F.col(sink).alias("b")).distinct()
-    paths = e.join(e.select(*k, F.col("a").alias("b"), F.col("b").alias("c")), [*k, "b"]).filter("a <> c and a <> b and b <> c")
+    paths = e.join(e.select(*k, F.col("a").alias("b"), F.col("b").alias("c")), [*k, "b"]).filter("a <> c")
     forward = paths.join(e.select(*k, "a", F.col("b").alias("c")), [*k, "a", "c"], "left_semi").withColumn("motif_type", F.lit("feed_forward"))
     back = paths.join(e.select(*k, F.col("a").alias("c"), F.col("b").alias("a")), [*k, "a", "c"], "left_semi").withColumn("motif_type", F.lit("feedback"))
     return forward.unionByName(back).select(*k, "motif_type", F.col("a").alias("node_a"), F.col("b").alias("node_b"), F.col("c").alias("node_c"))
@@ -143,7 +143,7 @@ def sharing_cut(edges: DataFrame, most: int) -> DataFrame:
 def condition_flow(members: DataFrame, group: str, least: int, other: str = "other") -> DataFrame:
     """Compounds by condition and group; groups of fewer than `least` compounds in all are pooled."""
     size = members.groupBy(group).agg(F.countDistinct("compound").alias("size"))
-    named = members.join(F.broadcast(size), group).withColumn("flow", F.when(F.col("size") < least, other).otherwise(F.col(group)))
+    named = members.join(size, group).withColumn("flow", F.when(F.col("size") < least, other).otherwise(F.col(group)))
     return named.groupBy("condition", "flow").agg(F.countDistinct("compound").alias("n"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
+from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +51,6 @@ def adjusted(df: DataFrame, p: str, out: str = "p_adjusted", method: str = "BH",
     return left.join(right, cond, "left").select("l.*", f"r.{out}")
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """i and ln(i!) for 0 to `most`, a running sum."""
-    n = spark.range(most + 1).withColumn("l", F.when(F.col("id") < 2, 0.0).otherwise(F.ln("id")))
-    return n.select(F.col("id").alias("i"), F.sum("l").over(Window.orderBy("id")).alias("lf"))
-
-
 def hypergeometric_tail(df: DataFrame, k: str, n: str, K: str, N: str, out: str = "pvalue") -> DataFrame:
     """P(X >= k) of drawing n from N with K marked; 1 for k = 0, null if N is less than n or K.
 
@@ -99,7 +97,7 @@ def over_represented(hits: DataFrame, terms: DataFrame, universe: DataFrame, key
     size = base.agg(F.count("*").alias("n_universe"))
     drawn, marks = own.groupBy(*k).agg(F.count("*").alias("n_drawn")), marked.groupBy("term").agg(F.count("*").alias("n_marked"))
     found = own.join(marked, "gene").groupBy(*k, "term").agg(F.count("*").alias("n_hit"), F.array_join(F.sort_array(F.collect_list(F.col("gene").cast("string"))), "/").alias("genes"))
-    rows = found.join(F.broadcast(drawn), k).join(F.broadcast(marks), "term").crossJoin(F.broadcast(size))
+    rows = found.join(drawn, k).join(marks, "term").crossJoin(F.broadcast(size))  # one row
     tested = hypergeometric_tail(rows, "n_hit", "n_drawn", "n_marked", "n_universe")
     tested = tested.withColumn("gene_ratio", F.concat_ws("/", "n_hit", "n_drawn")).withColumn("background_ratio", F.concat_ws("/", "n_marked", "n_universe")).withColumn("fold", (F.col("n_hit") / F.col("n_drawn")) / (F.col("n_marked") / F.col("n_universe")))
     return adjusted(tested, "pvalue", method=method)
@@ -115,28 +113,29 @@ def empirical(df: DataFrame, observed: str, draws: str, tail: str = "left") -> D
     return df.withColumns({"null_mean": mean, "null_sd": F.when(n > 1, sd), "z_score": F.when((n > 1) & (sd > 0), (x - mean) / sd), "p_empirical": (1 + extreme) / (n + 1)})
 
 
-def permutation_test(df: DataFrame, group: str, item: str, value: str, n_perm: int, seed: int) -> DataFrame:
-    """Per group: the mean over its items of their mean value, against draws of as many items from all, two-sided.
+def permutation_test(df: DataFrame, group: str, item: str, value: str, n_perm: int = 10_000, seed: int = 1, parts: int = 32) -> DataFrame:
+    """Per group: the mean over its items of their mean value, against `n_perm` draws of as many items from all, two-sided.
 
-    A draw is ordered by a hash of (seed, group, draw, item), so it does not depend on partitions.
+    Draws are dealt to `parts` tasks a group, each of which holds the items'
+    values; a draw follows from seed, group and number alone.
     """
-    per_item = df.filter(F.col(value).isNotNull()).groupBy(item).agg(F.avg(value).alias("v"))
-    own = df.filter(F.col(value).isNotNull()).select(group, item).distinct().join(per_item, item)
+    known = df.filter(F.col(value).isNotNull())
+    per_item = known.groupBy(item).agg(F.avg(value).alias("v"))
+    own = known.select(group, item).distinct().join(per_item, item)
     observed = own.groupBy(group).agg(F.avg("v").alias("observed"), F.count("*").alias("size"))
-    draws = observed.select(group, "size").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).crossJoin(F.broadcast(per_item))
-    order = Window.partitionBy(group, "draw").orderBy(F.xxhash64(F.lit(seed), group, "draw", item), item)
-    means = draws.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= F.col("size")).groupBy(group, "draw").agg(F.avg("v").alias("null_mean"))
-    joined = means.join(F.broadcast(observed), group).groupBy(group, "observed", "size").agg(F.count("*").alias("n"), F.count_if(F.col("null_mean") <= F.col("observed")).alias("lo"), F.count_if(F.col("null_mean") >= F.col("observed")).alias("hi"))
-    p = F.least(F.lit(1.0), 2 * F.least((F.col("lo") + 1) / (F.col("n") + 1), (F.col("hi") + 1) / (F.col("n") + 1)))
-    return adjusted(joined.select(group, "observed", "size", p.alias("p_empirical")), "p_empirical")
+    dealt = observed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(per_item, F.lit(True))
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(item)
+        first = pdf.iloc[0]
+        v, k = pdf["v"].to_numpy(), int(first["size"])
+        key = zlib.crc32(str(first[group]).encode())
+        means = np.array([np.random.default_rng([seed, key, n]).choice(v, k, replace=False).mean() for n in range(int(first["part"]), n_perm, parts)])
+        return pd.DataFrame({group: [first[group]], "lo": [int((means <= first["observed"] + 1e-12).sum())], "hi": [int((means >= first["observed"] - 1e-12).sum())]})
 
-def matched_draws(members: DataFrame, pool: DataFrame, n_draws: int, seed: int) -> DataFrame:
-    """Random sets with as many nodes of each bin as the given set has (pool: node, bin), without replacement: draw, bin, node."""
-    wanted = members.join(pool, "node").groupBy("bin").agg(F.count("*").alias("k"))
-    spread = pool.join(F.broadcast(wanted), "bin").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n_draws))))
-    order = Window.partitionBy("draw", "bin").orderBy(F.xxhash64(F.lit(seed), "draw", "node"), "node")
-    return spread.withColumn("place", F.row_number().over(order)).filter("place <= k").select("draw", "bin", "node")
+    counts = dealt.groupBy(group, "part").applyInPandas(run, f"{group} {dict(df.dtypes)[group]}, lo bigint, hi bigint").groupBy(group).agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"))
+    p = F.least(F.lit(1.0), 2 * F.least("lo", "hi").cast("double") / (n_perm + 1) + 2 / (n_perm + 1))
+    return adjusted(observed.join(counts, group).select(group, "observed", "size", p.alias("p_empirical")), "p_empirical")
 
 
 def average_ranks(df: DataFrame, column: str, out: str, keys: Sequence[str] = (), descending: bool = True) -> DataFrame:
@@ -170,27 +169,32 @@ def competition_rank(df: DataFrame, score: str, tie: str, out: str = "rank", key
     return df.withColumn(out, F.rank().over(Window.partitionBy(*keys).orderBy(key(score).asc_nulls_last(), key(tie).asc_nulls_last())))
 
 
-def pareto_fronts(df: DataFrame, id_col: str, criteria: Sequence[str], most: int = 1000) -> DataFrame:
-    """Fronts 1, 2, ... of repeatedly peeled non-dominated rows, larger being better and null the worst.
+def pareto_fronts(df: DataFrame, id_col: str, criteria: Sequence[str], most: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Fronts 1, 2, ... of repeatedly peeled non-dominated rows, within each group of `keys`; larger is better and null the worst.
+
+    With `most`, rows of later fronts have a null front.
 
     Rows of equal criteria are one point; each round is an anti-join of the
     points that are left against one another, and lineage is cut between rounds.
     """
     cs = [f"__c{i}" for i in range(len(criteria))]
     filled = df.withColumns({k: F.coalesce(F.col(c), F.lit(float("-inf"))) for k, c in zip(cs, criteria, strict=True)})
-    left = checkpointed(filled.select(*cs).distinct())
+    k = list(keys)
+    left = checkpointed(filled.select(*k, *cs).distinct())
     done = None
-    for front in range(1, most + 1):
+    for front in count(1) if most is None else range(1, most + 1):
         if left.isEmpty():
             break
-        rival = left.select(*[F.col(c).alias(f"o{c}") for c in cs])
+        rival = left.select(*[F.col(c).alias(f"o{c}") for c in [*k, *cs]])
         over, more = F.lit(True), F.lit(False)
+        for c in k:
+            over = over & F.col(f"o{c}").eqNullSafe(F.col(c))
         for c in cs:
             over, more = over & (F.col(f"o{c}") >= F.col(c)), more | (F.col(f"o{c}") > F.col(c))
-        best = checkpointed(left.join(rival, over & more, "left_anti").select(*[F.col(c).alias(c) for c in cs], F.lit(front).alias("pareto_front")))
+        best = checkpointed(left.join(rival, over & more, "left_anti").select(*[F.col(c).alias(c) for c in [*k, *cs]], F.lit(front).alias("pareto_front")))
         done = best if done is None else done.unionByName(best)
-        left = checkpointed(left.join(best.select(*cs), cs, "left_anti"))
-    return filled.join(done, cs).select(*df.columns, "pareto_front") if done is not None else df.withColumn("pareto_front", F.lit(None).cast("int"))
+        left = checkpointed(left.join(best.select(*k, *cs), [*k, *cs], "left_anti"))
+    return filled.join(done, [*k, *cs], "left").select(*df.columns, "pareto_front") if done is not None else df.withColumn("pareto_front", F.lit(None).cast("int"))
 
 
 def isolation(df: DataFrame, id_col: str, columns: Sequence[str], k: int = 3) -> DataFrame:
@@ -202,3 +206,18 @@ def isolation(df: DataFrame, id_col: str, columns: Sequence[str], k: int = 3) ->
     pairs = a.join(b, F.col(f"a.{id_col}") != F.col(f"b.{id_col}")).select(F.col(f"a.{id_col}").alias(id_col), F.sqrt(square).alias("d"), F.col(f"b.{id_col}").alias("__o"))
     near = pairs.withColumn("place", F.row_number().over(Window.partitionBy(id_col).orderBy("d", "__o"))).filter(F.col("place") <= k)
     return near.groupBy(id_col).agg(F.avg("d").alias("isolation"))
+
+
+def overlap_test(a: DataFrame, b: DataFrame, universe: DataFrame) -> DataFrame:
+    """Whether two gene sets (column gene) of a universe overlap by more than chance: k, n, m, size, fold and the hypergeometric tail; one row."""
+    base = universe.select("gene").distinct()
+    flags = base.join(a.select("gene").distinct().withColumn("in_a", F.lit(1)), "gene", "left").join(b.select("gene").distinct().withColumn("in_b", F.lit(1)), "gene", "left")
+    counts = flags.agg(F.count(F.col("in_a") * F.col("in_b")).alias("k"), F.count("in_a").alias("n"), F.count("in_b").alias("m"), F.count("*").alias("size"))
+    return hypergeometric_tail(counts, "k", "n", "m", "size").withColumn("fold", F.try_divide(F.col("k") * F.col("size"), F.col("n") * F.col("m")))
+
+
+def set_similarity(pairs: DataFrame, method: str = "tanimoto") -> DataFrame:
+    """Similarity of pairs from the sizes of both sets and of what they share (n_a, n_b, shared)."""
+    k, a, b = F.col("shared"), F.col("n_a"), F.col("n_b")
+    value = {"tanimoto": k / (a + b - k), "dice": 2 * k / (a + b), "cosine": k / F.sqrt(a * b)}[method]
+    return pairs.withColumn("similarity", value)

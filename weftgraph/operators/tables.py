@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .components import checkpointed
+
 
 def first_match(left: DataFrame, right: DataFrame, on: str, order: Sequence[Column]) -> DataFrame:
     """Left join that never multiplies rows: of several right rows of a key the first in `order` is used."""
@@ -31,18 +33,26 @@ def deduplicated(new: DataFrame, known: DataFrame, key: str, order: str) -> Data
 def assigned_ids(new: DataFrame, order: str, highest: int, prefix: str = "C") -> DataFrame:
     """Ids prefix%04d after the highest ever given, in input order.
 
-    Numbers come from per-partition counts over a range sort, not from one
-    window over all rows: the only values on the driver are one count a partition.
+    The rows' places in a range sort are written once, with their partition, and
+    numbered by what partitions before hold: no window over all rows, and no
+    second run that could part them otherwise. One count a partition is all that
+    reaches the driver.
     """
-    ranged = new.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    counts = sorted((r["__part"], r["count"]) for r in ranged.groupBy("__part").count().collect())
-    before, total = {}, highest
-    for part, n in counts:
-        before[part] = total
-        total += n
-    offset = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(highest))
-    return local.withColumn("id", F.format_string(f"{prefix}%04d", (offset[F.col("__part")] + F.col("__row")).cast("long"))).drop("__part", "__row")
+    return numbered(new, order, "__number").withColumn("id", F.format_string(f"{prefix}%04d", F.col("__number") + highest)).drop("__number")
+
+
+def numbered(df: DataFrame, order: str, out: str) -> DataFrame:
+    """Rows with their place (from 1) in the order of a column; equal ones in any order."""
+    place = F.monotonically_increasing_id()  # partition in the high bits, place in it in the low 33
+    ranged = checkpointed(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__at", place))
+    part = F.shiftrightunsigned("__at", 33)
+    total, before = 0, []
+    for r in ranged.groupBy(part.alias("part")).count().orderBy("part").collect():
+        before.append((r["part"], total))
+        total += r["count"]
+    offsets = df.sparkSession.createDataFrame(before, "__part long, __before long")
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("__part", part).join(F.broadcast(offsets), "__part").withColumn(out, F.col("__before") + inside + 1).select(*df.columns, out)
 
 
 def tolerant(columns: Sequence[str], wanted: str) -> str | None:
@@ -97,16 +107,93 @@ def upserted(old: DataFrame, new: DataFrame, keys: Sequence[str], touched: DataF
 def proteome_filtered(edges: DataFrame, target: str, proteome: DataFrame, label: str | None = None) -> DataFrame:
     """Edges whose target is listed, with the list's label (a hash of its sorted ids unless given) and size."""
     ids = proteome.select(F.col(target)).filter(F.col(target).isNotNull()).distinct()
-    # An order-free digest: the sum of the ids' hashes, so that no list is gathered in one row.
-    info = ids.agg(F.count("*").alias("n_proteome"), F.coalesce(F.sum(F.crc32(F.col(target).cast("string").cast("binary"))), F.lit(0)).alias("__digest"))
-    name = F.lit(label) if label else F.concat(F.lit("set_"), F.col("__digest").cast("string"))
+    # An order-free digest: the number of ids and the sum of their 64-bit hashes, so that no list is gathered in one row.
+    info = ids.agg(F.count("*").alias("n_proteome"), F.coalesce(F.sum(F.xxhash64(F.col(target).cast("string")).cast("decimal(38,0)")), F.lit(0)).alias("__digest"))
+    name = F.lit(label) if label else F.concat_ws("_", F.lit("set"), "n_proteome", F.abs("__digest").cast("string"))
     return edges.join(ids, target, "left_semi").crossJoin(F.broadcast(info)).withColumn("proteome_label", name).drop("__digest")
 
 
 def exported_smiles(df: DataFrame, id_col: str, name: str, canonical: str, raw: str) -> DataFrame:
     """The rows that have a structure, the canonical one first, numbered by id."""
     text = F.coalesce(F.nullif(F.trim(F.col(canonical)), F.lit("")), F.nullif(F.trim(F.col(raw)), F.lit("")))
-    return df.withColumn("smiles", text).filter("smiles is not null").select(F.row_number().over(Window.orderBy(id_col)).alias("row_order"), id_col, name, "smiles")
+    return numbered(df.withColumn("smiles", text).filter("smiles is not null").select(id_col, name, "smiles"), id_col, "row_order").select("row_order", id_col, name, "smiles")
+
+
+def positional(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
+    """Left rows with the right row of the same place, both in the order of a column; what the shorter side lacks is null."""
+    a = numbered(left, left_order, "row_order")
+    b = numbered(right, right_order, "row_order")
+    return a.join(b, "row_order", "full")
+
+
+def matched_by_name(left: DataFrame, name: str, right: DataFrame, other: str) -> DataFrame:
+    """Inner join of names that agree but for case and outer white space."""
+    key = lambda c: F.lower(F.trim(F.col(c)))
+    return left.withColumn("__name", key(name)).join(right.withColumn("__name", key(other)), "__name").drop("__name")
+
+
+def single_row(df: DataFrame) -> DataFrame:
+    """The table, if it has exactly one row; an error otherwise."""
+    n = df.limit(2).count()
+    if n != 1:
+        raise ValueError("no row" if not n else "more than one row")
+    return df
+
+
+def matched_import(df: DataFrame, compounds: DataFrame, order: Sequence[str] = ("compound", "smiles")) -> DataFrame:
+    """Imported rows with the compound that they are of, by the keys in `order`, the first that matches; others go.
+
+    compounds: compound, smiles. Descriptor tables match by id, then structure;
+    toxicity tables the other way round.
+    """
+    known = {c: first_of_group(compounds.filter(F.col(c).isNotNull()), [c], [F.col("compound")]).select(F.col(c).cast("string").alias(f"__key_{c}"), F.col("compound").alias(f"__by_{c}")) for c in order}
+    out = df
+    for c in order:
+        text = F.trim(F.col(c).cast("string")) if c in df.columns else F.lit(None).cast("string")
+        out = out.withColumn(f"__key_{c}", text).join(known[c], f"__key_{c}", "left")
+    found = F.coalesce(*[F.col(f"__by_{c}") for c in order])
+    rest = [c for c in df.columns if c != "compound"]
+    return out.withColumn("__found", found).filter("__found is not null").select(F.col("__found").alias("compound"), *rest)
+
+
+def prepared(new: DataFrame, known: DataFrame, order: str, highest: int, missing: str = "drop") -> DataFrame:
+    """New compounds (name, smiles) with ids: blank structures dropped (or an error if `missing` is "abort"), one row for each structure that is not known yet.
+
+    known: smiles. Structures are compared as trimmed text; a canonical form is the caller's.
+    """
+    if missing not in ("drop", "abort"):
+        raise ValueError(f"unknown policy {missing!r}")
+    text = F.nullif(F.trim("smiles"), F.lit(""))
+    rows = new.withColumn("smiles", text)
+    if missing == "abort" and not rows.filter("smiles is null").isEmpty():
+        raise ValueError("rows without a structure")
+    return assigned_ids(deduplicated(rows, known.withColumn("smiles", text), "smiles", order), order, highest)
+
+
+def gene_list(df: DataFrame, disease_id: str, disease_name: str, source: str, accession: str = "Uniprot ID", symbol: str = "Gene Symbol", score: str = "Relevance score") -> DataFrame:
+    """A curated gene list as associations: columns are found tolerantly, blank and "na" accessions go, the rest is distinct."""
+    a, s, v = (tolerant(df.columns, c) for c in (accession, symbol, score))
+    if a is None:
+        raise ValueError(f"no column like {accession!r}; a list of symbols alone needs a mapping first")
+    text = lambda c: F.trim(F.col(f"`{c}`").cast("string")) if c else F.lit(None).cast("string")
+    rows = df.select(F.lit(disease_id).alias("disease_id"), F.lit(disease_name).alias("disease_name"), text(a).alias("target"), text(s).alias("gene_symbol"), text(v).try_cast("double").alias("association_score"), F.lit(source).alias("source"))
+    return rows.filter(F.col("target").isNotNull() & ~F.lower("target").isin("", "na")).distinct()
+
+
+def bioactivities(rows: DataFrame, denied: Sequence[str]) -> DataFrame:
+    """Measured activities (compound, target, target_name, kind, value) without blank targets and denied names (any case), by compound, target, kind and value."""
+    named = F.col("target").isNotNull() & (F.trim("target") != "") & ~F.lower(F.trim(F.coalesce("target_name", F.lit("")))).isin(*[d.lower() for d in denied])
+    return rows.filter(named).orderBy(*[F.asc_nulls_last(c) for c in ("compound", "target", "kind", "value")])
+
+
+def classes_upserted(old: DataFrame, asked: DataFrame, labels: DataFrame) -> DataFrame:
+    """External class labels of the asked compounds (null where none is known), in place of what these had."""
+    return upserted(old, asked.select("compound").distinct().join(labels, "compound", "left").select(old.columns), ["compound"])
+
+
+def best_symbols(associations: DataFrame) -> DataFrame:
+    """One gene symbol for each target: that of the highest score."""
+    return first_of_group(associations, ["target"], [F.desc_nulls_last("score"), F.col("gene_symbol")])
 
 
 LOG = T.StructType([T.StructField("step", T.StringType()), T.StructField("id", T.StringType()), T.StructField("message", T.StringType()), T.StructField("timestamp", T.TimestampType())])

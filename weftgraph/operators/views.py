@@ -13,7 +13,7 @@ from .tables import first_match, first_of_group
 
 def panel_flags(targets: DataFrame, panel: DataFrame) -> DataFrame:
     """Targets (compound, target) with a panel's rows (target, organ, panel_score): `in_core_panel` where there is a score; a target on several rows multiplies."""
-    return targets.join(F.broadcast(panel), "target", "left").withColumn("in_core_panel", F.col("panel_score").isNotNull())
+    return targets.join(panel, "target", "left").withColumn("in_core_panel", F.col("panel_score").isNotNull())
 
 
 def gene_scores(edges: DataFrame, how: str = "max") -> DataFrame:
@@ -91,12 +91,12 @@ def best_molecule(candidates: DataFrame) -> DataFrame:
     return first_of_group(candidates, ["compound"], [F.desc(F.col("molecule").eqNullSafe(F.col("parent"))), F.desc(F.col("name").isNotNull()), F.asc_nulls_last(number), F.col("molecule")])
 
 
-def connected_picks(ranked: DataFrame, links: DataFrame, top: int, rounds: int = 50) -> DataFrame:
-    """The first `top` nodes (node, place) that have a partner among the picks: those without are replaced by the next until nothing changes."""
+def connected_picks(ranked: DataFrame, links: DataFrame, top: int) -> DataFrame:
+    """The first `top` nodes (node, place) that have a partner among the picks: those without are replaced by the next until nothing changes. `top` is a figure's size."""
     pairs = links.select(F.col("u").alias("node"), F.col("v").alias("other")).unionByName(links.select(F.col("v").alias("node"), F.col("u").alias("other")))
     pairs, left = checkpointed(pairs.distinct()), checkpointed(ranked)
     out, before = ranked.limit(0), None
-    for _ in range(rounds):
+    while True:  # each round takes nodes out, so it ends
         picks = left.orderBy("place").limit(top)
         fine = picks.join(pairs.join(picks.select(F.col("node").alias("other")), "other", "left_semi").select("node").distinct(), "node", "left_semi")
         good = {r.node for r in fine.select("node").collect()}

@@ -76,7 +76,7 @@ def betweenness_bound(spark, d):
     return n.withColumn("top", network.largest_betweenness(F.col("n"), F.col("m")))
 
 
-_audit = """, pairs AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS t FROM lineitem WHERE l_quantity >= 49),
+_audit = """, pairs AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS t FROM lineitem),
 deg AS (SELECT 'compound' AS kind, CAST(c AS VARCHAR) AS id, count(*) AS degree FROM pairs GROUP BY c UNION ALL SELECT 'target', CAST(t AS VARCHAR), count(*) FROM pairs GROUP BY t),
 scored AS (SELECT kind, id, degree, CASE WHEN mad(degree) OVER w > 0 THEN (degree - median(degree) OVER w) / (1.4826 * mad(degree) OVER w) END AS mad_score FROM deg WINDOW w AS (PARTITION BY kind)),
 audited AS (SELECT *, coalesce(mad_score > 2.5, false) AS flagged FROM scored),
@@ -85,7 +85,7 @@ weighted AS (SELECT kind, id, degree::DOUBLE AS raw_score, CASE WHEN flagged THE
 
 
 def _audited(spark, d):
-    return screen.audit(b.table(spark, d, "lineitem").filter("l_quantity >= 49"), "l_suppkey", "l_partkey")
+    return screen.audit(b.table(spark, d, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @query(_audit + "SELECT kind, id, degree, round(mad_score, 6) AS mad_score, flagged FROM audited")
@@ -126,10 +126,10 @@ def rule_filter(spark, d):
     return screen.long_rules(_flagged(spark, d), "compound", _RULES)
 
 
-@query(_flags + "SELECT compound FROM flags WHERE compound NOT IN (SELECT compound FROM long WHERE NOT pass)")
+@query(_flags + "SELECT compound FROM flags WHERE compound NOT IN (SELECT compound FROM long WHERE NOT pass AND rule IN ('ro5', 'egan'))")
 def rule_hard_cutoff(spark, d):
     flags = _flagged(spark, d)
-    return screen.hard_cutoff(flags, screen.long_rules(flags, "compound", _RULES), "compound").select("compound")
+    return screen.hard_cutoff(flags, screen.long_rules(flags, "compound", ("ro5", "egan")), "compound").select("compound")
 
 
 @query(_flags + "SELECT CASE WHEN c IS NULL THEN '(none)' ELSE c END AS combination, count(*) AS n FROM (SELECT string_agg(rule, '|' ORDER BY rule) FILTER (WHERE pass) AS c FROM long GROUP BY compound) GROUP BY 1")
@@ -182,9 +182,9 @@ def import_unpivot(spark, d):
     return tables.imported(part, "compound", {"brand": "P.Brand", "size": "P_SIZE", "kind": "p_type"}, "platform", "2024-01-31")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.04 THEN round(l_tax, 6) ELSE round(l_tax * 100 / 100, 6) END / CASE WHEN l_tax > 0.04 THEN 100 ELSE 1 END AS share FROM (SELECT *, l_tax FROM lineitem WHERE l_quantity >= 50)")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_tax > 0.04 THEN round(l_tax, 6) ELSE round(l_tax * 100 / 100, 6) END / CASE WHEN l_tax > 0.04 THEN 100 ELSE 1 END AS share FROM lineitem")
 def percent_parse(spark, d):
-    li = b.table(spark, d, "lineitem").filter("l_quantity >= 50")
+    li = b.table(spark, d, "lineitem")
     text = F.when(F.col("l_tax") > 0.04, F.concat(F.col("l_tax").cast("string"), F.lit(" %"))).otherwise((F.col("l_tax") * 100).cast("string"))
     return tables.percentages(li.withColumn("text", text), "text", "share").select("l_orderkey", "l_linenumber", "share")
 
@@ -206,10 +206,10 @@ def assigned_ids(spark, d):
     return tables.assigned_ids(b.table(spark, d, "part").filter("p_size > 25").select("p_partkey"), "p_partkey", 41)
 
 
-@query("SELECT p_partkey, p_name FROM (SELECT * FROM part WHERE p_size > 15 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) = 1) WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size <= 15)")
+@query("SELECT p_partkey, s FROM (SELECT *, p_brand || (p_size % 9) AS s FROM part WHERE p_size > 15 QUALIFY row_number() OVER (PARTITION BY s ORDER BY p_partkey) = 1) WHERE s NOT IN (SELECT p_brand || (p_size % 9) FROM part WHERE p_size <= 4)")
 def structure_dedup(spark, d):
-    p = b.table(spark, d, "part").select("p_partkey", "p_name", "p_size")
-    return tables.deduplicated(p.filter("p_size > 15"), p.filter("p_size <= 15"), "p_name", "p_partkey").select("p_partkey", "p_name")
+    p = b.table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.col("p_size") % 9).alias("s"), "p_size")
+    return tables.deduplicated(p.filter("p_size > 15"), p.filter("p_size <= 4"), "s", "p_partkey").select("p_partkey", "s")
 
 
 @query("SELECT row_number() OVER (ORDER BY p_partkey) AS row_order, p_partkey, p_name, smiles FROM (SELECT p_partkey, p_name, CASE WHEN p_size % 3 = 0 THEN p_brand WHEN p_size % 3 = 1 THEN p_type END AS smiles FROM part) WHERE smiles IS NOT NULL")
@@ -239,9 +239,9 @@ def disease_profile(spark, d):
     return rounded(tables.first_of_group(pairs, ["target"], [F.desc_nulls_last("score"), F.col("disease")], 3, rank="rank"), "score")
 
 
-@query("SELECT DISTINCT compound, target, p_type AS disease, round(p_retailprice / 2500, 6) AS score FROM targets JOIN part ON target = p_partkey WHERE p_retailprice / 2500 >= 0.5")
+@query("SELECT DISTINCT compound, target, p_type AS disease, round(p_retailprice / 2500, 6) AS score FROM targets JOIN part ON target = p_partkey WHERE p_retailprice / 2500 >= 0.4")
 def disease_filter(spark, d):
-    hit = b.targets(spark, d).join(b.diseases(spark, d).filter("score >= 0.5"), "target")
+    hit = b.targets(spark, d).join(b.diseases(spark, d).filter("score >= 0.4"), "target")
     return rounded(hit.select("compound", "target", "disease", "score").distinct(), "score")
 
 
@@ -265,7 +265,7 @@ def condition_compare(spark, d):
 
 @query(None)
 def condition_permutation(spark, d):
-    return rounded(stats.permutation_test(b.zscores(spark, d), "condition", "compound", "z", 200, 7), "observed")
+    return rounded(stats.permutation_test(b.zscores(spark, d), "condition", "compound", "z"), "observed")
 
 
 @query("SELECT combination, count(*) AS n FROM (SELECT target, concat(max(CAST(condition = 'A' AS INT)), max(CAST(condition = 'N' AS INT)), max(CAST(condition = 'R' AS INT))) AS combination FROM edges GROUP BY target) GROUP BY combination")
@@ -461,7 +461,7 @@ def network_separation(spark, d):
 def network_proximity(spark, d):
     sets = b.edges(spark, d).filter("condition = 'A'").select(F.col("compound").alias("name"), F.col("target").alias("node"))
     goal = b.diseases(spark, d).filter("disease like 'S%'").select(F.col("target").alias("node"))
-    return rounded(paths.proximity(b.interactions(spark, d), sets, goal, n_random=50), "d_observed", "d_random_mean", "d_random_sd", "z_score")
+    return rounded(paths.proximity(b.interactions(spark, d), sets, goal), "d_observed", "d_random_mean", "d_random_sd", "z_score")
 
 
 @query(None)
@@ -472,7 +472,7 @@ def network_routes(spark, d):
 
 
 def _networks(spark, d):
-    return b.edges(spark, d).filter("weight >= 0.99").select("condition", F.concat(F.lit("c"), "compound").alias("u"), F.concat(F.lit("t"), "target").alias("v"))
+    return b.edges(spark, d).select("condition", F.concat(F.lit("c"), "compound").alias("u"), F.concat(F.lit("t"), "target").alias("v"))
 
 
 @query(None)
@@ -482,7 +482,7 @@ def centrality(spark, d):
 
 @query(None)
 def module_robustness(spark, d):
-    return rounded(kernels.module_robustness(_networks(spark, d), ["condition"]), "r_index", "r_index_random", "modularity")
+    return rounded(kernels.module_robustness(_networks(spark, d), ["condition"]), "r_index", "r_index_random", "r_index_random_sd", "modularity")
 
 
 @query(None)
@@ -586,19 +586,33 @@ def pair_degeneracy(spark, d):
 
 
 def _candidates(spark, d):
-    flags = _flagged(spark, d).select("compound", F.aggregate(F.array(*[F.col(f"{r}_pass").cast("int") for r in _RULES]), F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0))).alias("passed"))
+    """Candidates are the binding's compounds; the descriptor table has a row for each number, and so for theirs."""
+    flags = _flagged(spark, d).select("compound", ranking.pass_fraction([F.col(f"{r}_pass") for r in _RULES]).alias("passed"))
     hub = ranking.rolled_up(b.edges(spark, d), network.hub_penalty(b.present(spark, d), b.edges(spark, d)).groupBy("target").agg(F.max("score_adjusted").alias("score")), "max")
     return b.zscores(spark, d).join(flags, "compound", "left").join(hub.withColumnRenamed("score", "hub"), ["condition", "compound"], "left")
 
 
-@query(None)
+@query(_flags + """, pf AS (SELECT compound, avg(CAST(pass AS INT)) AS passed FROM long GROUP BY compound),
+h AS (SELECT condition, target, count(DISTINCT compound) * ln(any_value(n) / count(DISTINCT compound)) AS s FROM edges JOIN (SELECT condition, count(*) AS n FROM presence WHERE present = 1 GROUP BY condition) USING (condition) GROUP BY ALL),
+hub AS (SELECT condition, compound, max(s) AS hub FROM edges JOIN (SELECT target, max(s) AS s FROM h GROUP BY target) USING (target) GROUP BY ALL),
+c AS (SELECT z.condition, z.compound, round(passed, 9) AS a, round(hub, 9) AS b, -round(z, 9) AS c FROM zscores z LEFT JOIN pf USING (compound) LEFT JOIN hub ON hub.condition = z.condition AND hub.compound = z.compound),
+k AS (SELECT *, count(*) OVER w AS n, """ + ", ".join(f"CASE WHEN {x} IS NULL THEN count(*) OVER w ELSE rank() OVER (PARTITION BY condition ORDER BY {x} DESC NULLS LAST) + (count(*) OVER (PARTITION BY condition, {x}) - 1) / 2 END AS r{x}" for x in "abc") + """ FROM c WINDOW w AS (PARTITION BY condition)),
+s AS (SELECT *, list_sort([ra / n, rb / n, rc / n]) AS x, (ra + rb + rc) / 3 AS mean_rank FROM k),
+rra AS (SELECT *, least(1, 3 * least(1 - pow(1 - x[1], 3), 3 * x[2] * x[2] * (1 - x[2]) + pow(x[2], 3), pow(x[3], 3))) AS rra_score FROM s)
+SELECT condition, compound, ra AS rank_passed, rb AS rank_hub, rc AS rank_z, round(rra_score, 6) AS rra_score, round(mean_rank, 6) AS mean_rank, CAST(a IS NOT NULL AS INT) + CAST(b IS NOT NULL AS INT) + CAST(c IS NOT NULL AS INT) AS n_criteria_used,
+NOT EXISTS (SELECT 1 FROM rra o WHERE o.condition = r.condition AND coalesce(o.a, '-infinity'::DOUBLE) >= coalesce(r.a, '-infinity'::DOUBLE) AND coalesce(o.b, '-infinity'::DOUBLE) >= coalesce(r.b, '-infinity'::DOUBLE) AND coalesce(o.c, '-infinity'::DOUBLE) >= coalesce(r.c, '-infinity'::DOUBLE)
+AND (coalesce(o.a, '-infinity'::DOUBLE) > coalesce(r.a, '-infinity'::DOUBLE) OR coalesce(o.b, '-infinity'::DOUBLE) > coalesce(r.b, '-infinity'::DOUBLE) OR coalesce(o.c, '-infinity'::DOUBLE) > coalesce(r.c, '-infinity'::DOUBLE))) AS first_front FROM rra r""")
 def rank_candidates(spark, d):
-    out = ranking.ranked(_candidates(spark, d), "compound", {"passed": 1, "hub": 1, "z": -1})
-    return rounded(out, "rra_score", "mean_rank").select("condition", "compound", "rank_passed", "rank_hub", "rank_z", "rra_score", "mean_rank", "rra_rank", "n_criteria_used")
+    rows = rounded(_candidates(spark, d), "hub", "z", "passed", digits=9)  # so that equal values tie in any order of summing
+    out = ranking.ranked(rows, "compound", {"passed": 1, "hub": 1, "z": -1}).withColumn("first_front", F.col("pareto_front") == 1)
+    return rounded(out, "rra_score", "mean_rank").select("condition", "compound", "rank_passed", "rank_hub", "rank_z", "rra_score", "mean_rank", "n_criteria_used", "first_front")
 
 
 @query(None)
 def term_modules(spark, d):
     t = b.table(spark, d, "lineitem").filter("l_quantity >= 48").select(F.col("l_suppkey").alias("term"), (F.col("l_partkey") % 40).alias("gene"))
     e = network.term_overlap(t, 0.4).select(F.lit("all").alias("network"), F.col("a").alias("u"), F.col("b").alias("v"))
-    return rounded(kernels.module_robustness(e, ["network"]), "r_index", "r_index_random", "modularity")
+    return rounded(kernels.module_robustness(e, ["network"]), "r_index", "r_index_random", "r_index_random_sd", "modularity")
+
+
+from . import figure_queries, table_queries  # noqa: E402, F401  (they register their queries here)

@@ -32,12 +32,15 @@ def predictions(spark: SparkSession, path: str, target: str = "UniProt ID", prob
 
 def prediction_log(spark: SparkSession, path: str, compounds: DataFrame) -> DataFrame:
     """One row per file of a folder: its name, compound, rows, and whether the compound is known."""
-    files = csv(spark, path).groupBy(F.col("_metadata.file_name").alias("path")).agg(F.count("*").alias("rows"))
+    rows = csv(spark, path).groupBy(F.col("_metadata.file_name").alias("path")).agg(F.count("*").alias("rows"))
+    # Files without rows are listed too.
+    every = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("path"))
+    files = every.join(rows, "path", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     number = F.nullif(F.regexp_extract("path", r"(\d+)", 1), F.lit(""))
     known = compounds.select(F.col("compound").cast("string").alias("compound")).distinct().withColumn("known", F.lit(True))
     out = files.withColumn("compound", number).join(known, "compound", "left")
-    reason = F.when(F.col("compound").isNull(), "no id in the file's name").when(F.col("known").isNull(), "unknown compound").otherwise("imported")
-    return out.select("path", "compound", "rows", F.coalesce("known", F.lit(False)).alias("ok"), reason.alias("reason"))
+    reason = F.when(F.col("compound").isNull(), "no id in the file's name").when(F.col("known").isNull(), "unknown compound").when(F.col("rows") == 0, "no rows").otherwise("imported")
+    return out.select("path", "compound", "rows", (F.coalesce("known", F.lit(False)) & (F.col("rows") > 0)).alias("ok"), reason.alias("reason"))
 
 
 def pathway_relations(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +88,7 @@ def actions(spark: SparkSession, path: str, least: int) -> DataFrame:
 
 
 def aliases(spark: SparkSession, path: str) -> DataFrame:
-    """protein, alias, source from a tab-separated file whose header is either names or a comment."""
+    """protein, alias, source from a file in tabs, or, where a line has none, in spaces; its header is either names or a comment."""
     text = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    parts = F.split("value", r"\t")
+    parts = F.when(F.col("value").contains("\t"), F.split("value", r"\t")).otherwise(F.split(F.trim("value"), r" +", 3))
     return text.select(parts[0].alias("protein"), F.try_element_at(parts, F.lit(2)).alias("alias"), F.try_element_at(parts, F.lit(3)).alias("source")).filter("alias is not null and lower(alias) <> 'alias'")

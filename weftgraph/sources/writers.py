@@ -10,16 +10,35 @@ from pyspark.sql import functions as F
 
 
 def swapped(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write beside the target and rename into place through the path's own file system, so that a plan may read what it replaces."""
-    spark = df.sparkSession
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    df.write.format(fmt).option("header", True).save(fresh)
+    """Write beside the target, move the old table aside and the new one into place, through the path's own file system.
+
+    A plan may read what it replaces. One table is whole at every time: after a
+    crash between the two moves, it is the one aside, which the next call (or
+    `restored`) puts back. Between the moves the path itself is absent for a moment.
+    """
+    fs, path_of = restored(df.sparkSession, path)
+    fresh, aside = path_of(f"{path}.new-{uuid.uuid4().hex}"), path_of(f"{path}.old")
+    df.write.format(fmt).option("header", True).save(fresh.toString())
+    at = path_of(path)
+    if fs.exists(at) and not fs.rename(at, aside):
+        raise OSError(f"could not move {path} aside")
+    if not fs.rename(fresh, at):
+        raise OSError(f"could not move {fresh.toString()} to {path}")
+    fs.delete(aside, True)
+
+
+def restored(spark: SparkSession, path: str):
+    """Put back a table that a crash has left aside; returns its file system and a maker of paths."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    path_of = jvm.org.apache.hadoop.fs.Path
+    at, aside = path_of(path), path_of(f"{path}.old")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(at, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), at):
-        raise OSError(f"could not move {fresh} to {path}")
+    if fs.exists(aside):
+        if fs.exists(at):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, at):
+            raise OSError(f"could not move {path} back")
+    return fs, path_of
 
 
 def digest(tables: dict[str, DataFrame], most: int = 200) -> str:
