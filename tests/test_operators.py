@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import kernels, network, paths, presence, ranking, screen, stats, tables, views
+from weftgraph.operators import components, kernels, network, paths, presence, ranking, screen, stats, tables, views
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import registry
 from weftgraph.plans.project import Project
@@ -223,7 +223,9 @@ def test_bow_tie_parts(spark):
     assert dict(rows(paths.bow_tie(e))) == {0: "in", 1: "core", 2: "core", 3: "core", 4: "out", 8: "other", 9: "other"}
 
 
-def test_components_by_union_find(spark):
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_components_by_union_find(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", most)
     rng = random.Random(4)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 140)]
     parent = {x: x for p in pairs for x in p}
@@ -238,6 +240,8 @@ def test_components_by_union_find(spark):
         parent[max(x, y)] = min(x, y)
     want = {x: find(x) for p in pairs if p[0] != p[1] for x in p}
     assert dict(rows(connected_components(spark.createDataFrame(pairs, "u long, v long")))) == want
+    named = spark.createDataFrame([("b", "é"), ("é", "z"), ("x", None), ("y", "y")], "u string, v string")
+    assert dict(rows(connected_components(named))) == {"b": "b", "é": "b", "z": "b"}
 
 
 def test_equal_p_values_share_a_result(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Distinct edges up to which one task finds all components; more are settled in rounds of joins. Both ways give the same rows.
+ONE_TASK_EDGES = 1_000_000
+
+
+def settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Components of edges u, v: roots hook on to the least root beside them, and paths are halved, until nothing changes."""
+    nodes, at = np.unique(np.concatenate([pdf["u"].to_numpy(), pdf["v"].to_numpy()]), return_inverse=True)
+    a, b = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        least, new = np.minimum(root[a], root[b]), root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == root).all():
+            return pd.DataFrame({"node": nodes, "component": nodes[root]})
+        root = new
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most: int = 60) -> DataFrame:
     """Columns node and component (the smallest node of its component) for every node with an edge.
 
-    Alternates two steps until the edges stay the same: each node hands its
+    Few edges are settled in one task, as rounds of tiny jobs would cost far more.
+    Many alternate two steps until the edges stay the same: each node hands its
     larger neighbours, then its smaller ones, to the smallest node it knows. The
     number of edges never grows, and the rounds grow with the logarithm of the
     longest path. Minima are aggregated before they are shuffled, and written
@@ -37,8 +60,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", most: int
     """
     now = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u <> v")
     now = checkpointed(now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    if now.isEmpty():
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    if now.count() <= ONE_TASK_EDGES:
+        kind = dict(now.dtypes)["u"]
+        return checkpointed(now.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(lambda pdf: settled(pdf), f"node {kind}, component {kind}").coalesce(1))
     before = None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
