@@ -16,11 +16,12 @@
    group of near copies costs rows in proportion to its size at each round,
    never to its square. What is left after ROUNDS is compared in pairs of blocks.
 4. Small nodes are compared exhaustively by signature, which leaves in them only
-   classes that may be linked. Some trees at a time (BATCHES), these get their
-   full sets, and all similarities within a node are computed. Later trees look
-   only at pairs that are not of one component by then and that have not met in
-   a node before, so the many nodes that hold one group of near copies cost
-   little more than one of them.
+   classes that may be linked. Nodes that share such classes hang together; up to
+   LARGE classes that do get their full sets once, and all their similarities are
+   computed. Of larger ones, nodes are compared, some trees at a time (BATCHES);
+   later trees look only at pairs that are not of one component by then and have
+   not met in a node before, so that the many nodes of one group of near copies
+   cost little more than one of them.
 
 The signature test lets pass what is estimated at five standard deviations
 below the threshold, so it does not lose links; every link is confirmed on full
@@ -359,27 +360,38 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: st
         small = small.unionByName(in_blocks(large, F.ceil(F.col("size") * 2 / LARGE)))
 
     def still_open(rows: DataFrame, found: DataFrame, seen: DataFrame) -> DataFrame:
-        rows = persisted(by_component(rows, found).join(low, "rep").join(seen, "rep", "left"))
-        groups = grouped(rows, ["node"], SIGNATURES_AT_ONCE, rows.count())
+        signed = by_component(rows, found).join(low, "rep").join(seen, "rep", "left")
+        groups = grouped(signed, ["node"], SIGNATURES_AT_ONCE, rows.count())
         return persisted(groups.applyInPandas(lambda pdf: open_members(pdf, percent), "node bigint, rep bigint, tree smallint"))
 
+    def compared(pool: DataFrame, found: DataFrame) -> DataFrame:
+        """Components with the links within the nodes (node, rep) of `pool`, by full sets."""
+        heavy = pool.join(classes.select("rep", "n"), "rep").groupBy("node").agg(F.ceil(F.sum("n") / SHINGLES_AT_ONCE).alias("blocks"))
+        full = in_blocks(pool.select("node", "rep").join(heavy, "node"), F.col("blocks")).select("node", "rep").join(sets, "rep")
+        new = persisted(grouped(full, ["node"], SETS_AT_ONCE, pool.count()).applyInPandas(lambda pdf: node_links(pdf, percent), "u bigint, v bigint"))
+        return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
+
     found = connected_components(links)
     seen = classes.select("rep", F.array().cast("array<bigint>").alias("seen")).limit(0)
     alive = still_open(small, found, seen)
-    sets, met = sets_of(alive.select("rep")), None
+    sets = sets_of(alive.select("rep"))
+    # What hangs together by open members is compared once, if it is small enough.
+    least = alive.groupBy("node").agg(F.min("rep").alias("u"))
+    hanging = persisted(connected_components(alive.join(least, "node").select("u", F.col("rep").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("node")))
+    size = hanging.groupBy("node").agg(F.count("*").alias("size"))
+    found = compared(persisted(hanging.join(size.filter(F.col("size") <= LARGE), "node").select("node", "rep")), found)
+    rest = alive.join(hanging.join(size.filter(F.col("size") > LARGE), "node").select("rep"), "rep", "left_semi")
+    if size.filter(F.col("size") > LARGE).isEmpty():
+        return found
+    rest, met = persisted(rest), None
     for first, last in zip((0, *BATCHES), BATCHES, strict=False):
-        pool = alive.filter((F.col("tree") >= first) & (F.col("tree") < last))
+        pool = rest.filter((F.col("tree") >= first) & (F.col("tree") < last))
         if met is not None:
-            seen = met.groupBy("rep").agg(F.collect_set("node").alias("seen"))
-            pool = still_open(pool, found, seen)
+            pool = still_open(pool, found, met.groupBy("rep").agg(F.collect_set("node").alias("seen")))
         if pool.isEmpty():
             continue
         met = pool.select("rep", "node") if met is None else met.unionByName(pool.select("rep", "node"))
-        sized = pool.join(classes.select("rep", "n"), "rep")
-        heavy = sized.groupBy("node").agg(F.ceil(F.sum("n") / SHINGLES_AT_ONCE).alias("blocks"))
-        full = in_blocks(pool.join(heavy, "node"), F.col("blocks")).select("node", "rep").join(sets, "rep")
-        new = persisted(grouped(full, ["node"], SETS_AT_ONCE, pool.count()).applyInPandas(lambda pdf: node_links(pdf, percent), "u bigint, v bigint"))
-        found = connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
+        found = compared(pool, found)
     return found
 
 
