@@ -73,7 +73,7 @@ def condition_trend(spark, d):
     return rounded(figures.trend(rows, ["R", "A", "N"], "mean_z", "n"), "mean_z", "n_scaled")
 
 
-@query(_jac + ", p AS (SELECT condition, a, b, jaccard, CASE WHEN condition <> 'R' THEN (a + b) % 100 / 100 END AS q FROM jac), m AS (SELECT *, coalesce(q < 0.05, false) AS passed, bool_or(coalesce(q < 0.05, false)) OVER (PARTITION BY condition) AS some FROM p) SELECT condition, a, b, passed FROM m WHERE CASE WHEN some THEN passed ELSE round(jaccard, 9) >= 0.1 END")
+@query(_jac + ", p AS (SELECT condition, a, b, jaccard, CASE WHEN condition <> 'R' THEN (a + b) % 100 / 100 END AS q FROM jac), m AS (SELECT *, coalesce(q < 0.05, false) AS passed, bool_or(coalesce(q < 0.05, false)) OVER (PARTITION BY condition) AS any_passed FROM p) SELECT condition, a, b, passed FROM m WHERE CASE WHEN any_passed THEN passed ELSE round(jaccard, 9) >= 0.1 END")
 def degeneracy_notable(spark, d):
     pairs = network.pair_jaccard(b.edges(spark, d), ["condition"], "compound", "target")
     q = F.when(F.col("condition") != "R", (F.col("a") + F.col("b")) % 100 / 100)
