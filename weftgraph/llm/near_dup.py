@@ -16,9 +16,11 @@
    group of near copies costs rows in proportion to its size at each round,
    never to its square. What is left after ROUNDS is compared in pairs of blocks.
 4. Small nodes are compared exhaustively by signature, which leaves in them only
-   classes that may be linked. Nodes that share such classes hang together; up to
-   LARGE classes that do get their full sets once, and all their similarities are
-   computed. Of larger ones, nodes are compared, some trees at a time (BATCHES);
+   classes that may be linked. Nodes that share such classes hang together; all
+   similarities of classes that do are computed from full sets, in pairs of blocks
+   where they are more than LARGE, as long as a class is then copied to no more
+   blocks than it has nodes (COPIES). Of still larger groups, nodes are compared,
+   some trees at a time (BATCHES);
    later trees look only at pairs that are not of one component by then and have
    not met in a node before, so that the many nodes of one group of near copies
    cost little more than one of them.
@@ -52,6 +54,8 @@ TREES_AGAIN, LEVELS_AGAIN, ROUNDS = 2, 2, 8
 SECOND_PLACE = 0.25  # share of nodes that branch on a second place: 1.25 * 0.8 = 1
 #: Classes of a node that are compared exhaustively, in one group; larger nodes are branched on.
 LARGE = 2048
+#: Nodes that a class is in, on average; no class of a group that hangs together is copied to more blocks.
+COPIES = int(TREES * (1 + SECOND_PLACE) ** LEVELS)
 #: Trees after which components are made, up to the last one.
 BATCHES = (2, TREES)
 #: Rows of a group with signatures, and with full sets; shingles in a node that are held at once.
@@ -366,7 +370,8 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: st
 
     def compared(pool: DataFrame, found: DataFrame) -> DataFrame:
         """Components with the links within the nodes (node, rep) of `pool`, by full sets."""
-        heavy = pool.join(classes.select("rep", "n"), "rep").groupBy("node").agg(F.ceil(F.sum("n") / SHINGLES_AT_ONCE).alias("blocks"))
+        many = F.when(F.count("*") > LARGE, F.ceil(F.count("*") * 2 / LARGE)).otherwise(1)
+        heavy = pool.join(classes.select("rep", "n"), "rep").groupBy("node").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES_AT_ONCE), many).alias("blocks"))
         full = in_blocks(pool.select("node", "rep").join(heavy, "node"), F.col("blocks")).select("node", "rep").join(sets, "rep")
         new = persisted(grouped(full, ["node"], SETS_AT_ONCE, pool.count()).applyInPandas(lambda pdf: node_links(pdf, percent), "u bigint, v bigint"))
         return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
@@ -375,13 +380,14 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: st
     seen = classes.select("rep", F.array().cast("array<bigint>").alias("seen")).limit(0)
     alive = still_open(small, found, seen)
     sets = sets_of(alive.select("rep"))
-    # What hangs together by open members is compared once, if it is small enough.
+    # What hangs together by open members is compared once, if its blocks cost no more rows than its nodes do.
     least = alive.groupBy("node").agg(F.min("rep").alias("u"))
     hanging = persisted(connected_components(alive.join(least, "node").select("u", F.col("rep").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("node")))
     size = hanging.groupBy("node").agg(F.count("*").alias("size"))
-    found = compared(persisted(hanging.join(size.filter(F.col("size") <= LARGE), "node").select("node", "rep")), found)
-    rest = alive.join(hanging.join(size.filter(F.col("size") > LARGE), "node").select("rep"), "rep", "left_semi")
-    if size.filter(F.col("size") > LARGE).isEmpty():
+    vast = F.col("size") > COPIES * LARGE // 2
+    found = compared(persisted(hanging.join(size.filter(~vast), "node").select("node", "rep")), found)
+    rest = alive.join(hanging.join(size.filter(vast), "node").select("rep"), "rep", "left_semi")
+    if size.filter(vast).isEmpty():
         return found
     rest, met = persisted(rest), None
     for first, last in zip((0, *BATCHES), BATCHES, strict=False):
