@@ -59,18 +59,21 @@ def fitted(rows: DataFrame, shape: Shape, most: int) -> Model:
 
     def kernel(part: dict[str, list]) -> dict[str, list]:
         bags = [bag(t or "", shape) for t in part["text"]]
-        return {"label": part["label"], "at": [a.astype("<u4").tobytes() for a, _ in bags], "share": [w.astype("<f4").tobytes() for _, w in bags], "row": [hash_of(a, w) for a, w in bags]}
+        return {"label": part["label"], "at": [a.astype(a.dtype.newbyteorder("<")).tobytes() for a, _ in bags], "share": [w.astype("<f4").tobytes() for _, w in bags], "row": [hash_of(a, w) for a, w in bags]}
 
     def trained(found: pa.Table) -> pa.Table:
-        # The order of rows must not depend on tasks; by a hash, it is no order of the corpus either.
-        rows, left = sorted(zip(*(found.column(c).to_pylist() for c in ("row", "label", "at", "share")), strict=True)), MOST_FEATURES
-        kept = []
-        for r in rows:
-            left -= len(r[2]) // 4
+        # The order of rows must not depend on tasks; by a hash, it is no order of the corpus either. Equal hashes and labels are equal rows.
+        hashes, labels = found.column("row").to_pylist(), found.column("label").to_pylist()
+        order, left, kept = sorted(range(len(labels)), key=lambda i: (hashes[i], labels[i])), MOST_FEATURES, []
+        # Bags stay where Arrow has them: views, not copies.
+        at, share = ([np.frombuffer(x.as_buffer(), kind) for x in found.column(c)] for c, kind in (("at", "<u2" if shape.bits <= 16 else "<u4"), ("share", "<f4")))
+        for i in order:
+            left -= len(at[i])
             if kept and left < 0:
                 break
-            kept.append(r)
-        model = train([(np.frombuffer(r[2], "<u4").astype(np.int64), np.frombuffer(r[3], "<f4")) for r in kept], [r[1] for r in kept], shape)
+            kept.append(i)
+        model = train([(at[i], share[i]) for i in kept], [labels[i] for i in kept], shape)
+        del at, share
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     bags = map_rows(rows.select("text", F.col("label").cast("string").alias("label")), kernel, "label string, at binary, share binary, row bigint").limit(most)

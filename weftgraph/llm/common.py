@@ -6,9 +6,9 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructType
 
 #: Rows of a text column that one Arrow slice hands to a kernel; long texts make shorter slices.
 SLICE_ROWS = 2048
@@ -37,10 +37,30 @@ def map_rows(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]
                 out = kernel(rows, state) if setup else kernel(rows)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def released() -> None:
+    """Give memory that Arrow has freed back to the system: a worker lives on after its task, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+
+
+def flagged(text: Column, kernel: Callable[[list, object], list], setup: Callable) -> Column:
+    """A boolean column from slices of a text column alone: what else the rows hold never leaves the JVM."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        state = setup()
+        for part in parts:
+            batch = pa.RecordBatch.from_arrays([part], ["text"])
+            found = [kernel(piece.column(0).to_pylist(), state) for piece in slices(batch)]
+            yield pa.array([x for piece in found for x in piece], pa.bool_())
+        released()
+
+    return F.arrow_udf(run, BooleanType())(text)
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece has at most SLICE_ROWS rows and about SLICE_BYTES bytes."""
     n = batch.num_rows

@@ -123,7 +123,9 @@ class Model:
         split = [self.shape.words(t) for t in texts]
         missing = list(set().union(*split) - self.cache.keys())
         if len(self.cache) + len(missing) > len(self.sums):
-            self.sums = np.resize(self.sums, (2 * (len(self.cache) + len(missing)), width))
+            grown = np.zeros(((len(self.cache) + len(missing)) * 5 // 4, width))
+            grown[: len(self.cache)] = self.sums[: len(self.cache)]
+            self.sums = grown
         known, at = self.cache, len(self.cache)
         for part in blocks(missing):
             bucket, n = word_features(part, self.shape)
