@@ -13,10 +13,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from weftgraph.llm.classify import LETTER, language_model, quality_model
-from weftgraph.llm.common import map_rows, persisted, table
+from weftgraph.llm.common import flagged, persisted, table
 from weftgraph.llm.near_dup import components
 from weftgraph.llm.packing import pack
 from weftgraph.llm.secrets import redacted
@@ -30,35 +29,24 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language the model does not reject: those with a letter and a score over the calibrated bound."""
     held = spark.sparkContext.broadcast(language_model(docs, F.lit(True)))
 
-    def judge(rows: dict[str, list], m) -> dict[str, list]:
-        texts = [t or "" for t in rows["text"]]
+    def judge(texts: list, m) -> list:
+        texts = [t or "" for t in texts]
         score = m.probabilities(texts).max(axis=1).tolist() if m.classes else [1.0] * len(texts)
-        return {"keep": [LETTER.search(t) is not None and s >= m.reject_below for t, s in zip(texts, score, strict=True)]}
+        return [LETTER.search(t) is not None and s >= m.reject_below for t, s in zip(texts, score, strict=True)]
 
-    return filtered(docs, judge, held)
+    return docs.filter(flagged(F.col("text"), judge, lambda: held.value))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the quality model, fitted to all labels, does not take for bad ones."""
     held = spark.sparkContext.broadcast(quality_model(docs, table(spark, sf_dir, "labels"), F.lit(True)))
 
-    def judge(rows: dict[str, list], m) -> dict[str, list]:
-        texts = [t or "" for t in rows["text"]]
+    def judge(texts: list, m) -> list:
+        texts = [t or "" for t in texts]
         score = m.probabilities(texts)[:, m.classes.index("1")].tolist() if "1" in m.classes else [1.0] * len(texts)
-        return {"keep": [s >= BAD_BELOW for s in score]}
+        return [s >= BAD_BELOW for s in score]
 
-    return filtered(docs, judge, held)
-
-
-def filtered(docs: DataFrame, judge, held) -> DataFrame:
-    """The rows that `judge` keeps, by its answers to their texts."""
-    flag = next(c for n in range(len(docs.columns) + 1) if (c := f"keep{n}") not in docs.columns)
-    shape = StructType([*docs.schema.fields, StructField(flag, BooleanType())])
-
-    def kernel(rows: dict[str, list], m) -> dict[str, list]:
-        return rows | {flag: judge(rows, m)["keep"]}
-
-    return map_rows(docs, kernel, shape, setup=lambda: held.value).filter(flag).drop(flag)
+    return docs.filter(flagged(F.col("text"), judge, lambda: held.value))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
