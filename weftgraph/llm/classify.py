@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, table
+from .common import held_out, map_rows, released, table
 from .subword import Model, Shape, bag, train
 
 #: Bounds of the training samples: rows of each language, labelled rows for quality, and features (distinct buckets of a text) in all.
@@ -73,7 +73,8 @@ def fitted(rows: DataFrame, shape: Shape, most: int) -> Model:
                 break
             kept.append(i)
         model = train([(at[i], share[i]) for i in kept], [labels[i] for i in kept], shape)
-        del at, share
+        del found, at, share
+        released()
         return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
 
     bags = map_rows(rows.select("text", F.col("label").cast("string").alias("label")), kernel, "label string, at binary, share binary, row bigint").limit(most)

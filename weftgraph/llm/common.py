@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -37,14 +38,18 @@ def map_rows(df: DataFrame, kernel: Callable[[dict[str, list]], dict[str, list]
                 out = kernel(rows, state) if setup else kernel(rows)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del state
         released()
 
     return df.mapInArrow(run, schema)
 
 
 def released() -> None:
-    """Give memory that Arrow has freed back to the system: a worker lives on after its task, beside the executor's heap."""
+    """Give freed memory back to the system: a worker lives on after its task, beside the executor's heap and other workers."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
 
 
 def flagged(text: Column, kernel: Callable[[list, object], list], setup: Callable) -> Column:

@@ -61,7 +61,7 @@ BATCHES = (2, TREES)
 #: Rows of a group with signatures, and with full sets; shingles in a node that are held at once.
 SIGNATURES_AT_ONCE, SETS_AT_ONCE, SHINGLES_AT_ONCE = 20_000, 2_000, 8_000_000
 SIGMAS = 5.0
-#: Words whose hashes a worker keeps.
+#: Words whose hashes a task keeps.
 CACHE_ENTRIES = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,22 +74,20 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 32, PLACES, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, PLACES, dtype=np.uint32)
 
 
-_words: dict[bytes, int] = {}
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle."""
-    if len(_words) > CACHE_ENTRIES:
-        _words.clear()
+def shingles(texts: list[str | None], k: int, known: dict[bytes, int] | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle. `known` keeps words' hashes between calls of one task."""
+    known = {} if known is None else known
+    if len(known) > CACHE_ENTRIES:
+        known.clear()
     split = [t.encode().lower().split() if t else [] for t in texts]
-    missing = set().union(*split) - _words.keys() if split else set()
-    _words.update((w, xxhash.xxh3_64_intdigest(w)) for w in missing)
-    look, out = _words.__getitem__, []
+    missing = set().union(*split) - known.keys() if split else set()
+    known.update((w, xxhash.xxh3_64_intdigest(w)) for w in missing)
+    look, out = known.__getitem__, []
     for words in split:
         h = np.fromiter(map(look, words), np.uint64, len(words))
         n = min(k, len(h))
@@ -99,8 +97,6 @@ def shingles(texts: list[str | None], k: int) -> list[np.ndarray]:
                 s = s * _PRIME + h[i : len(h) - n + 1 + i]
             h = np.unique(mixed(s + np.uint64(n)))
         out.append(h)
-    if len(_words) > CACHE_ENTRIES:
-        _words.clear()
     return out
 
 
@@ -121,8 +117,8 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 def shingled(df: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
     """Id, set size, set digest and signature of every row."""
 
-    def kernel(rows: dict[str, list]) -> dict[str, list]:
-        sets = shingles(rows["text"], k)
+    def kernel(rows: dict[str, list], known: dict[bytes, int]) -> dict[str, list]:
+        sets = shingles(rows["text"], k, known)
         digests = list(map(digest, sets))
         return {
             "doc_id": rows["doc_id"], "n_shingles": [len(s) for s in sets], "k1": [a for a, _ in digests], "k2": [b for _, b in digests],
@@ -130,7 +126,7 @@ def shingled(df: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
         }
 
     source = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(source, kernel, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary")
+    return map_rows(source, kernel, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, sig binary", setup=dict)
 
 
 def branched(rows: DataFrame, trees: int, levels: int, seed: int) -> DataFrame:
@@ -331,12 +327,12 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: st
         wanted = classes.join(reps.distinct(), "rep", "left_semi").select("rep", "doc", "k1", "k2")
         texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("text is not null")
 
-        def sets(part: dict[str, list]) -> dict[str, list]:
-            found = [(r, s.tobytes()) for r, a, b, s in zip(part["rep"], part["k1"], part["k2"], shingles(part["text"], k), strict=True) if digest(s) == (a, b)]
+        def sets(part: dict[str, list], known: dict[bytes, int]) -> dict[str, list]:
+            found = [(r, s.tobytes()) for r, a, b, s in zip(part["rep"], part["k1"], part["k2"], shingles(part["text"], k, known), strict=True) if digest(s) == (a, b)]
             return {"rep": [r for r, _ in found], "shingles": [s for _, s in found]}
 
         # An id may stand for several texts, and a row may be repeated.
-        return persisted(map_rows(texts.join(wanted, "doc"), sets, "rep bigint, shingles binary").dropDuplicates(["rep"]))
+        return persisted(map_rows(texts.join(wanted, "doc"), sets, "rep bigint, shingles binary", setup=dict).dropDuplicates(["rep"]))
 
     def similar(a: dict, b: dict) -> bool:
         agree = (np.frombuffer(a["low"], np.uint8) == np.frombuffer(b["low"], np.uint8)).sum()
