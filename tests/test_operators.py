@@ -268,6 +268,12 @@ def test_pareto_fronts(spark):
     assert {r.i: r.pareto_front for r in stats.pareto_fronts(df, "i", ["a", "b"]).collect()} == {1: 2, 2: 1, 3: 1, 4: 3, 5: 4}
 
 
+def test_pareto_first_gives_the_first_front_only(spark, monkeypatch):
+    s = spark.createDataFrame([(1, 3.0, 1), (2, 3.0, 2), (3, 1.0, 3), (4, 1.0, 1), (5, None, 9), (6, 0.0, None)], "s_suppkey long, s_acctbal double, s_nationkey int")
+    monkeypatch.setattr(registry.b, "table", lambda *_: s)
+    assert rows(registry.pareto_first(spark, "")) == [(2, 1), (3, 1), (5, 1), (6, 1)]
+
+
 def test_average_ranks_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, None), (4, None)], "i int, x double")
     assert {r.i: r.k for r in stats.average_ranks(df, "x", "k").collect()} == {1: 1.5, 2: 1.5, 3: 4.0, 4: 4.0}
