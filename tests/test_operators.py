@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.operators import components, kernels, network, paths, presence, ranking, screen, stats, tables, views
+from weftgraph.operators import components, figures, kernels, network, paths, presence, ranking, screen, stats, tables, views
 from weftgraph.operators.components import connected_components
 from weftgraph.plans import registry
 from weftgraph.plans.project import Project
@@ -297,6 +297,82 @@ def test_pareto_first_gives_the_first_front_only(spark, monkeypatch):
     assert rows(registry.pareto_first(spark, "")) == [(2, 1), (3, 1), (5, 1), (6, 1)]
 
 
+def test_fronts_equal_repeated_peeling(spark):
+    rng = random.Random(6)
+    cells = [(g, i, *(rng.choice([None, float("-inf"), 0.0, 1.0, 2.0, 3.0, 4.0]) for _ in range(3))) for g in ("x", None) for i in range(60)]
+    df = spark.createDataFrame(cells, "g string, i int, a double, b double, c double")
+    want = {}
+    for g in ("x", None):
+        left, front = {i: [float("-inf") if v is None else v for v in vs] for h, i, *vs in cells if h == g}, 0
+        while left:
+            front += 1
+            best = [i for i, p in left.items() if not any(q != p and all(x >= y for x, y in zip(q, p)) for q in left.values())]
+            want |= {(g, i): front for i in best}
+            left = {i: p for i, p in left.items() if i not in best}
+    assert max(want.values()) > 3
+    found = stats.pareto_fronts(df, "i", ["a", "b", "c"], keys=["g"])
+    assert {(r.g, r.i): r.pareto_front for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    for most in (1, 2):
+        got = stats.pareto_fronts(df, "i", ["a", "b", "c"], most=most, keys=["g"])
+        assert {(r.g, r.i): r.pareto_front for r in got.collect()} == {x: f if f <= most else None for x, f in want.items()}
+
+
+def test_isolation_by_brute_force(spark, monkeypatch):
+    """Blocks of few points, many rows at one place, and fewer rows than neighbours."""
+    monkeypatch.setattr(stats, "BLOCK_POINTS", 4)
+    rng = random.Random(7)
+    places = [(rng.randrange(6), rng.randrange(4)) for _ in range(40)] + [(5, 3)] * 6
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate([(0, 0), (5, 3), *places])], "i int, a double, b double")
+    at = [(0, 0), (1, 1), *((a / 5, b / 3) for a, b in places)]
+    want = [np.mean(sorted(math.dist(p, q) for j, q in enumerate(at) if j != i)[:3]) for i, p in enumerate(at)]
+    found = stats.isolation(df, "i", ["a", "b"])
+    assert np.allclose([r.isolation for r in found.orderBy("i").collect()], want)
+    assert rows(stats.isolation(df.filter("i < 2"), "i", ["a", "b"])) == [(0, math.sqrt(2)), (1, math.sqrt(2))]
+    assert rows(stats.isolation(df.filter("i < 1"), "i", ["a", "b"])) == []
+
+
+def test_overlaps_by_blocks_equal_those_by_joins(spark, monkeypatch):
+    """Blocks of three items, elements that most items hold, names, nulls and groups; and nothing is joined on the element."""
+    rng = random.Random(4)
+    cells = [(g, f"é{i}", rng.choice([None, *"abcdefgh"])) for g in ("x", "y") for i in range(20) for _ in range(6)] + [("x", None, "a"), (None, "n", "a"), ("x", "alone", None)]
+    members = spark.createDataFrame(cells, "g string, i string, e string")
+    want = rows(network.pair_jaccard(members, ["g"], "i", "e"))
+    monkeypatch.setattr(network, "JOIN_ROWS", 0)
+    monkeypatch.setattr(network, "JOIN_SHARE", 0)
+    monkeypatch.setattr(network, "BLOCK_ITEMS", 3)
+    found = network.pair_jaccard(members, ["g"], "i", "e")
+    assert rows(found) == want and len(want) > 300
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(network.pair_jaccard(members, ["g"], "i", "e", 0.5)) == [r for r in want if r[-1] >= 0.5]
+
+
+def test_degeneracy_by_blocks_equals_that_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(c, i, rng.randrange(30)) for c in "AN" for i in range(15) for _ in range(5)], "condition string, compound int, target int")
+    sets = spark.createDataFrame([(t, "abcd"[t % 4]) for t in range(28)], "target int, name string")
+    want = rows(ranking.degeneracy(edges, sets))
+    monkeypatch.setattr(network, "JOIN_ROWS", 0)
+    monkeypatch.setattr(network, "JOIN_SHARE", 0)
+    monkeypatch.setattr(network, "BLOCK_ITEMS", 4)
+    found = ranking.degeneracy(edges, sets)
+    assert rows(found) == want and len(want) > 100
+    assert found._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin") <= 1  # both sets of a compound
+
+
+def test_all_pairs_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(network, "BLOCK_ITEMS", 3)
+    z = spark.createDataFrame([(c, i, None if i == 3 else float(i)) for c in "AN" for i in range(11)] + [("A", None, 1.0), (None, 1, 1.0)], "condition string, compound int, z double")
+    want = sorted([(c, i, j, None if i == 3 else float(i), None if j == 3 else float(j)) for c in "AN" for i in range(11) for j in range(i + 1, 11)], key=str)
+    assert rows(network.all_pairs(z, ["condition"], "compound", ["z"])) == want
+
+
+def test_remainder_partners_equal_counted_pairs(spark):
+    z = spark.createDataFrame([("A", i) for i in (-4, -1, 0, 2, 3, 5, 7, 9)] + [("N", 3), (None, 3), ("A", None)], "condition string, compound long")
+    pairs = network.all_pairs(z, ["condition"], "compound", []).selectExpr("condition", "a compound_a", "b compound_b", "if((a + b) % 3 = 0, 'P2', 'P1') class")
+    assert rows(figures.remainder_partners(z, 3)) == rows(figures.partner_counts(pairs))
+
+
 def test_average_ranks_with_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, None), (4, None)], "i int, x double")
     assert {r.i: r.k for r in stats.average_ranks(df, "x", "k").collect()} == {1: 1.5, 2: 1.5, 3: 4.0, 4: 4.0}
