@@ -206,6 +206,18 @@ def test_separation_of_unconnected_sets_is_null(spark):
     assert r.d_ab is None and r.separation is None
 
 
+def test_separation_by_sets_equals_that_by_members(spark, monkeypatch):
+    """Shared members, single ones, a member off the network and a part without a way; and no row for each pair of members."""
+    rng = random.Random(8)
+    net = spark.createDataFrame([(i, rng.randrange(i)) for i in range(1, 40)] + [(3, 30), (5, 22)] + [(50, 51)], "u long, v long")
+    sets = spark.createDataFrame([(n, rng.randrange(40)) for n in "abcde" for _ in range(5)] + [("one", 7), ("off", 99), ("off", 3), ("far", 50), ("far", 51), ("a", 50)], "name string, node long")
+    members = sets.select(F.col("node").alias("draw"), "node").distinct()
+    want = rows(paths.separation(paths.multi_source_hops(net, members, members).withColumnRenamed("draw", "source"), sets))
+    assert rows(paths.set_separation(net, sets)) == want and len(want) == 28
+    monkeypatch.setattr(paths, "BROADCAST_EDGES", 3)
+    assert rows(paths.set_separation(net, sets)) == want
+
+
 def test_network_separation_has_no_farthest_hop(spark, monkeypatch):
     """Two pairs of a chain of 12 steps, 9 and 2 apart, and a member off the largest component."""
     chain = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(50, 51)], "u long, v long")
