@@ -34,7 +34,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         score = m.probabilities(texts).max(axis=1).tolist() if m.classes else [1.0] * len(texts)
         return [LETTER.search(t) is not None and s >= m.reject_below for t, s in zip(texts, score, strict=True)]
 
-    return docs.filter(flagged(F.col("text"), judge, lambda: held.value))
+    return docs.filter(flagged(F.col("text"), judge, lambda: held.value.fresh()))
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         score = m.probabilities(texts)[:, m.classes.index("1")].tolist() if "1" in m.classes else [1.0] * len(texts)
         return [s >= BAD_BELOW for s in score]
 
-    return docs.filter(flagged(F.col("text"), judge, lambda: held.value))
+    return docs.filter(flagged(F.col("text"), judge, lambda: held.value.fresh()))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from weftgraph.llm.classify import quality_model, score_quality
-from weftgraph.llm.common import persisted
+from weftgraph.llm.common import flagged, persisted
+from weftgraph.llm.subword import Shape, bag, train
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +64,13 @@ def test_near_dedup_of_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "one text of some words here"), (1, "quite another text with more words"), (2, "one text of some words here"), (2, "one text of some words here"), (None, "x y")], "doc_id long, text string")
     got = corpus_pipeline.deduplicated(spark, docs, SF).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, "x y"), (1, "one text of some words here"), (1, "quite another text with more words")]
+
+
+def test_scoring_holds_few_words_at_once_and_leaves_no_cache(spark):
+    rows = spark.range(0, 3000, numPartitions=1).select(F.concat_ws(" ", F.lit("word"), F.col("id")).alias("text"))
+    sizes = rows.select(flagged(F.col("text"), lambda texts, _: [len(texts) <= 512] * len(texts), lambda: None).alias("few"))
+    assert sizes.filter("few").count() == 3000
+    model = train([bag(t, Shape()) for t in ("ja oui", "no si")], ["a", "b"], Shape())
+    own = model.fresh()
+    assert (own.probabilities(["ja si"]) == model.fresh().probabilities(["x", "ja si"])[1:]).all()
+    assert own.cache and not model.cache and model.sums is None

@@ -108,7 +108,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
         return {"doc_id": rows["doc_id"], "lang_pred": [names[best[i]] if seen[i] else UNKNOWN for i in range(n)], "score": score, "rejected": [s < m.reject_below or not ok for s, ok in zip(score, seen, strict=True)]}
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(source, kernel, "doc_id bigint, lang_pred string, score double, rejected boolean", setup=lambda: held.value)
+    return map_rows(source, kernel, "doc_id bigint, lang_pred string, score double, rejected boolean", setup=lambda: held.value.fresh())
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = ROWS_FOR_QUALITY) -> Model:
@@ -132,7 +132,7 @@ def score_quality(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: s
         return {"doc_id": rows["doc_id"], "score": score.tolist(), "predicted": [int(s >= 0.5) for s in score]}
 
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(source, kernel, "doc_id bigint, score double, predicted int", setup=lambda: held.value)
+    return map_rows(source, kernel, "doc_id bigint, score double, predicted int", setup=lambda: held.value.fresh())
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ bounded cache of the Python worker.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import islice
 from operator import eq
 
@@ -113,6 +113,10 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"cache": {}, "sums": None}
 
+    def fresh(self) -> Model:
+        """The same model with a cache of its own: a broadcast model outlives the task, and what it cached would lie beside the next task's."""
+        return replace(self, cache={}, sums=None)
+
     def logits(self, texts: list[str]) -> np.ndarray:
         """Scaled class scores of whole texts; an empty text has the biases alone."""
         width = len(self.classes) + 1
