@@ -529,3 +529,27 @@ def test_project_round_trip(spark, tmp_path):
 def test_report_escapes(spark):
     page = writers.report(spark, "a<b", {"t": spark.createDataFrame([("a<b", 1.23456)], "condition string, x double"), "u": None})
     assert "a&lt;b" in page and "1.235" in page and "not computed" in page
+
+
+def test_hub_betweenness_equals_plain_searches():
+    rng = random.Random(8)
+    for _ in range(40):
+        pairs = {(f"c{rng.randrange(7)}", f"t{rng.randrange(12)}") for _ in range(rng.randint(1, 30))}
+        _, near = kernels.adjacency(*(np.array(x) for x in zip(*sorted(pairs), strict=True)))
+        for own in kernels.members_of(kernels.components_of(near)):
+            new = {x: i for i, x in enumerate(own.tolist())}
+            inner = [[new[y] for y in near[x]] for x in new]
+            assert np.allclose(kernels.hub_betweenness(inner), kernels.betweenness(inner))
+    ring = [[1, 2], [0, 2], [0, 1]]
+    path = [[j for j in (i - 1, i + 1) if 0 <= j < 80] for i in range(80)]  # too long for matrices
+    assert kernels.hub_side(ring) is None and kernels.hub_betweenness(ring) is None and kernels.hub_betweenness(path) is None
+
+
+def test_betweenness_of_dealt_components(spark):
+    rng = random.Random(9)
+    pairs = [("g", f"c{k}_{rng.randrange(15)}", f"t{k}_{rng.randrange(60)}") for k in range(4) for _ in range(120)]
+    pairs += [("g", f"p{i:02}", f"p{i + 1:02}") for i in range(60)] + [("g", f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(90)]
+    edges = spark.createDataFrame(pairs, "condition string, u string, v string")
+    got = {r.node: r.betweenness for r in kernels.dealt_betweenness(edges, ["condition"], 3).collect()}
+    names, near = kernels.adjacency(np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs]))
+    assert len(got) == len(names) and np.allclose([got[n] for n in names], kernels.betweenness(near))
