@@ -553,3 +553,18 @@ def test_betweenness_of_dealt_components(spark):
     got = {r.node: r.betweenness for r in kernels.dealt_betweenness(edges, ["condition"], 3).collect()}
     names, near = kernels.adjacency(np.array([p[1] for p in pairs]), np.array([p[2] for p in pairs]))
     assert len(got) == len(names) and np.allclose([got[n] for n in names], kernels.betweenness(near))
+
+
+def test_group_draws_do_not_repeat_and_are_even():
+    pool = [np.arange(0, 4), np.arange(10, 16), np.arange(20, 22)]
+    group, bins = np.repeat([0, 1, 2], [6, 5, 3]), np.array([0, 0, 0, 1, 1, 1, 0, 0, 1, 1, 1, 2, 2, 2])
+    rng, seen = np.random.default_rng(4), np.zeros((14, 22))
+    for _ in range(4000):
+        found = paths.drawn_in_groups(group, bins, pool, rng)
+        seen[np.arange(14), found] += 1
+        for g, b in {(0, 0), (0, 1), (1, 0), (1, 1)}:
+            own = found[(group == g) & (bins == b)]
+            assert len(set(own.tolist())) == len(own) and set(own.tolist()) <= set(pool[b].tolist())
+    for row, b in zip(seen, bins, strict=True):
+        assert np.allclose(row[pool[b]] / 4000, 1 / len(pool[b]), atol=0.05)
+    assert len(paths.drawn_in_groups(group[:0], bins[:0], pool, rng)) == 0
