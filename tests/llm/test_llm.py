@@ -612,3 +612,17 @@ def test_held_out_follows_the_id(spark):
     got = mixing.op1_context_mixing(spark, SF)
     assert got.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in got.collect())
+
+
+def test_words_and_classes_are_counted_over_all_training_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CLASS_TEXTS", 2)
+    monkeypatch.setattr(mixing, "SAMPLE_TEXTS", 2, raising=False)
+    texts = [f"common word{i % 7} only{i}" for i in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("learn", F.col("doc_id") < 50).repartition(3)
+    frequent, sample = mixing.probed(rows)
+    words = Counter(w for t in texts[:50] for w in mixing.words_of(t))
+    assert frequent == sorted(words, key=lambda w: (-words[w], w)) and len(sample) == 2
+    start = mixing.Classes(sample, frequent[:8])
+    found = mixing.refitted(rows.filter("learn"), start)
+    kinds = start.of(mixing.Tokens(texts[:50]))
+    assert np.allclose(found.prior, (np.bincount(kinds, minlength=mixing.CLASSES) + 1) / (50 + mixing.CLASSES))
