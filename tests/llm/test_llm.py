@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -594,6 +595,30 @@ def test_no_training_rows(odd):
     assert len(got) == odd.count() and all(r.base_score == 0 and r.n_known == 0 and r.train_tokens == 0 for r in got)
 
 
+def test_mixing_visits_no_distinct_word_in_python():
+    """Numbers, names and batches of distinct words come from whole arrays: op1 was over its CPU budget by calls of one word each."""
+    words, calls = [b"w%d" % i for i in range(20_000)], [0]
+
+    def counted(frame, event, arg):
+        calls[0] += event in ("call", "c_call")
+
+    table, text = {w: i for i, w in enumerate(words)}, " ".join(w.decode() for w in words)
+    sys.setprofile(counted)
+    try:
+        tokens = mixing.Tokens([text])
+        found, parts = tokens.lookup(table), list(mixing.batches(words * 20))
+    finally:
+        sys.setprofile(None)
+    assert calls[0] < len(words)
+    assert tokens.distinct == words and found.tolist() == list(range(20_000))
+    assert [w for part in parts for w in part] == words * 20 and len(parts) > 2
+    for part in parts:  # the least number of words that fill a batch
+        size = sum(len(w) + 1 for w in part)
+        assert size - len(part[-1]) - 1 < mixing.BATCH_BYTES and (size >= mixing.BATCH_BYTES or part is parts[-1])
+    data, length, place = mixing.spelled([b"ab", b"c"])
+    assert bytes(data) == b"ab c " and length.tolist() == [3, 2] and place.tolist() == [0, 1, 2, 0, 1]
+
+
 def test_costs_are_a_distribution():
     """The costs of all bytes after one context sum to one."""
     rng = np.random.default_rng(1)
