@@ -5,6 +5,7 @@ import math
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -619,6 +620,29 @@ def test_mixing_visits_no_distinct_word_in_python():
     assert bytes(data) == b"ab c " and length.tolist() == [3, 2] and place.tolist() == [0, 1, 2, 0, 1]
 
 
+def test_mixing_never_holds_the_contexts_of_all_bytes(monkeypatch):
+    """Contexts of a batch of words are found piece by piece: op1 took more than an executor's memory while it learned."""
+    letters = np.random.default_rng(3).choice(np.frombuffer(b"etaoinshr", np.uint8), (150_000, 6))
+    words, trie = sorted({bytes(w) for w in letters}), mixing.trie_of([b"the", b"tea"])
+    words[1000] = b"eta" * 50_000  # longer than a piece
+    weight = np.arange(len(words)) + 1.0
+    tracemalloc.start()
+    try:
+        pieces = [mixing.Situations.of_words(words, 3, trie, w) for w in (weight, None)]
+        assert tracemalloc.get_traced_memory()[1] < 90e6  # 175 MB before
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(mixing, "PIECE_BYTES", 1 << 30)
+    for (got, owner), w in zip(pieces, (weight, None), strict=True):
+        want, of = mixing.Situations.of_words(words, 3, trie, w)
+        assert all((a == b).all() for a, b in zip(got.contexts, want.contexts, strict=True))
+        assert (got.byte == want.byte).all() and (got.depth == want.depth).all() and (got.known == want.known).all()
+        assert (got.place == want.place).all() and (owner == of).all()
+        assert got.weight is None if w is None else (got.weight == want.weight).all()
+    none, owner = mixing.Situations.of_words([], 3, trie)
+    assert len(none.byte) == len(owner) == 0
+
+
 def test_costs_are_a_distribution():
     """The costs of all bytes after one context sum to one."""
     rng = np.random.default_rng(1)
