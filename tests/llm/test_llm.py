@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from weftgraph.llm import bpe, classify, gif, hilbert, mixing, near_dup, packing, secrets, subword, token_counts
 
@@ -643,6 +644,35 @@ def test_mixing_never_holds_the_contexts_of_all_bytes(monkeypatch):
     assert len(none.byte) == len(owner) == 0
 
 
+def test_frequent_words_and_sample_leave_partitions_behind(spark, monkeypatch):
+    """No partition sends its own most frequent words, or texts of least draw, to one place: both grew with the number of partitions."""
+    plans, collect = [], DataFrame.collect
+
+    def watched(df):
+        found = collect(df)
+        plans.append((df._jdf.queryExecution().executedPlan().toString(), len(found)))
+        return found
+
+    monkeypatch.setattr(DataFrame, "collect", watched)
+    rng, ends = random.Random(5), ["", "\xe9", "a", "z"]
+    words = {f"{'tie' * rng.randint(0, 2)}{i // 4:04}{ends[i % 4]}".encode(): 1 + (i % 50 == 0) * rng.randint(1, 3) for i in range(2000)}
+    texts = [" ".join(w.decode() for w, n in words.items() if n > k) for k in range(4)]
+    rows = spark.createDataFrame([(i, texts[i] if i < 4 else "", True) for i in range(300)], "doc_id long, text string, learn boolean").repartition(8)
+    want = sorted(words, key=lambda w: (-words[w], w))
+    for many in (7, 60, 450, 1999, 2000, 5000):
+        monkeypatch.setattr(mixing, "FREQUENT", many)
+        monkeypatch.setattr(mixing, "CLASS_TEXTS", 40)
+        plans.clear()
+        top, sample = mixing.probed(rows)
+        assert top == want[:many] and len(sample) == 40
+        assert not any(f"TakeOrderedAndProject(limit={many}," in plan for plan, _ in plans)
+        assert max(n for _, n in plans) <= max(2 * many, 1 << 10)
+    draws = spark.range(5000).select("id", (F.col("id") * 7919 % 4093).alias("draw")).repartition(8)
+    least = sorted(r.draw for r in draws.collect())
+    for many, bits in ((1, 12), (40, 12), (5000, 12), (6000, 12), (40, 42)):
+        assert sorted(r.draw for r in mixing.least_drawn(draws, many, bits).collect()) == least[:many]
+
+
 def test_costs_are_a_distribution():
     """The costs of all bytes after one context sum to one."""
     rng = np.random.default_rng(1)
