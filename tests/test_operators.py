@@ -2,8 +2,10 @@
 
 import math
 import random
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -597,3 +599,27 @@ def test_group_draws_do_not_repeat_and_are_even():
     for row, b in zip(seen, bins, strict=True):
         assert np.allclose(row[pool[b]] / 4000, 1 / len(pool[b]), atol=0.05)
     assert len(paths.drawn_in_groups(group[:0], bins[:0], pool, rng)) == 0
+
+
+def test_separation_past_the_driver(spark, monkeypatch):
+    """Neither the network nor its members are collected; more than 64 sets, in groups that overlap, make each pair of a group once."""
+    rng = random.Random(5)
+    net = spark.createDataFrame([(i, rng.randrange(i)) for i in range(1, 300)], "u long, v long")
+    sets = spark.createDataFrame([(n, rng.randrange(300)) for n in range(70) for _ in range(3)], "name long, node long")
+    groups = spark.createDataFrame([(n, g) for n in range(70) for g in "xy" if g == "x" or n % 3 == 0], "name long, group string")
+    members = sets.select(F.col("node").alias("draw"), "node").distinct()
+    plain = rows(paths.separation(paths.multi_source_hops(net, members, members).withColumnRenamed("draw", "source"), sets))
+
+    def collected(*_):
+        raise AssertionError("rows reach the driver")
+
+    monkeypatch.setattr(type(net), "toPandas", collected)
+    found = paths.set_separation(net, sets, groups)
+    assert rows(found) == sorted([("x", *r) for r in plain] + [("y", *r) for r in plain if r[0] % 3 == 0 == r[1] % 3], key=str)
+
+
+def test_a_task_leaves_a_forest_of_its_edges():
+    rng = random.Random(6)
+    pairs = pd.DataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(400)] + [(90, 91), (91, 92)], columns=["u", "v"])
+    less = pd.concat(components.forests(iter([pairs.iloc[:200], pairs.iloc[200:]])))
+    assert len(less) <= 41 and dict(components.settled(less).to_numpy().tolist()) == dict(components.settled(pairs).to_numpy().tolist())
