@@ -601,6 +601,46 @@ def test_group_draws_do_not_repeat_and_are_even():
     assert len(paths.drawn_in_groups(group[:0], bins[:0], pool, rng)) == 0
 
 
+def test_separation_and_proximity_take_all_lines_and_conditions(spark, monkeypatch):
+    """Every order's lines make edges, whatever their quantity; sets are compared in every condition, and to every class of diseases."""
+    d = "/root/testdata/sf0.001"
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect()
+    orders = {}
+    for r in li:
+        orders.setdefault(r.l_orderkey, set()).add(r.l_partkey)
+    near = {}
+    for parts in orders.values():
+        for x in parts:
+            near.setdefault(x, set()).update(parts - {x})
+    edges = {(x, y) for x, ys in near.items() for y in ys if x < y}
+    assert {(r.u, r.v) for r in registry.b.interactions(spark, d, None).collect()} == edges
+
+    @cache
+    def away(starts):
+        depth, front = dict.fromkeys(starts, 0), list(starts)
+        for x in front:
+            for y in near[x]:
+                if y not in depth:
+                    depth[y] = depth[x] + 1
+                    front.append(y)
+        return depth
+
+    sets = {}
+    for r in registry.b.edges(spark, d).collect():
+        sets.setdefault((r.condition, r.compound), set()).add(r.target)
+    inside = frozenset(away((min(near),)))
+    assert inside == set(near)  # one component
+    sets = {k: frozenset(s & inside) for k, s in sets.items() if s & inside}
+    got = {(r.condition, r.a, r.b): r for r in registry.network_separation(spark, d).collect()}
+    assert set(got) == {(c, x, y) for c, x in sets for o, y in sets if c == o and x < y} and len({k[0] for k in got}) == 3
+    for (c, x, y), r in got.items():
+        one, two = sets[c, x], sets[c, y]
+        to_one, to_two = away(one), away(two)
+        d_ab = (sum(to_two[n] for n in one) + sum(to_one[n] for n in two)) / (len(one) + len(two))
+        within = [sum(min(away((n,))[m] for m in s if m != n) for n in s) / len(s) if len(s) > 1 else 0.0 for s in (one, two)]
+        assert math.isclose(r.d_ab, d_ab, abs_tol=1e-6) and math.isclose(r.separation, d_ab - sum(within) / 2, abs_tol=1e-6) and (r.n_a, r.n_b) == (len(one), len(two))
+
+
 def test_separation_past_the_driver(spark, monkeypatch):
     """Neither the network nor its members are collected; more than 64 sets, in groups that overlap, make each pair of a group once."""
     rng = random.Random(5)
