@@ -639,6 +639,15 @@ def test_separation_and_proximity_take_all_lines_and_conditions(spark, monkeypat
         d_ab = (sum(to_two[n] for n in one) + sum(to_one[n] for n in two)) / (len(one) + len(two))
         within = [sum(min(away((n,))[m] for m in s if m != n) for n in s) / len(s) if len(s) > 1 else 0.0 for s in (one, two)]
         assert math.isclose(r.d_ab, d_ab, abs_tol=1e-6) and math.isclose(r.separation, d_ab - sum(within) / 2, abs_tol=1e-6) and (r.n_a, r.n_b) == (len(one), len(two))
+    goals = {}
+    for r in registry.b.diseases(spark, d).collect():
+        goals.setdefault(r.disease.split(" ")[0], set()).add(r.target)
+    near_goal = {k: away(frozenset(s & inside)) for k, s in goals.items()}
+    draws = paths.proximity_draws
+    monkeypatch.setattr(paths, "proximity_draws", lambda *given: draws(*given[:3], n_random=3))
+    found = {(r.condition, r.disease, r.name): r.d_observed for r in registry.network_proximity(spark, d).collect()}
+    assert set(found) == {(c, k, x) for c, x in sets for k in goals}
+    assert all(math.isclose(v, sum(near_goal[k][n] for n in sets[c, x]) / len(sets[c, x]), abs_tol=1e-6) for (c, k, x), v in found.items())
 
 
 def test_separation_past_the_driver(spark, monkeypatch):
