@@ -414,6 +414,21 @@ def test_large_nodes_lose_nothing(spark, monkeypatch, rounds, held):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(df, 4).collect()} == want
 
 
+def test_near_duplicates_send_no_side_of_a_join_through_the_driver(docs, monkeypatch):
+    plans, checkpoint = [], DataFrame.checkpoint
+
+    def seen(df, *given, **named):
+        out = checkpoint(df, *given, **named)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(DataFrame, "checkpoint", seen)
+    found = near_dup.components(docs, k=4)
+    assert found.count() == docs.count()
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_recall_of_links_in_groups_of_near_copies(spark):
     """Links that alone hold two documents together, at similarities from 0.80 up: nearly all are found."""
     rng = random.Random(4)

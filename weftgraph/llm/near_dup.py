@@ -29,7 +29,7 @@ The signature test lets pass what is estimated at five standard deviations
 below the threshold, so it does not lose links; every link is confirmed on full
 sets. Nulls, empty texts and texts without words have the empty set and are
 linked with nothing: they are kept, each its own component, and so are rows with
-a null id. Repeated rows come out as often as they went in; rows of one id but
+a null id. Joins are shuffles: none sends a side through the driver. Repeated rows come out as often as they went in; rows of one id but
 different texts are labelled each by its own text. An empty table gives
 an empty result; other columns are ignored.
 """
@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, shuffled
 from .common import map_rows, persisted, shuffle_width, table
 
 PLACES = 64  # of a signature
@@ -287,7 +287,7 @@ def with_size(nodes: DataFrame) -> DataFrame:
     """Nodes of at least two members, with their size; of nodes of the same members, one (their order-free digests agree)."""
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("members")).filter("size > 1")
     one = sizes.groupBy("size", "members").agg(F.min("node").alias("node"))
-    return nodes.join(one.select("node", "size"), "node")
+    return nodes.join(shuffled(one.select("node", "size")), "node")
 
 
 def confirmed(pairs: DataFrame, data: DataFrame, test: Callable[[dict, dict], bool]) -> DataFrame:
@@ -299,8 +299,8 @@ def confirmed(pairs: DataFrame, data: DataFrame, test: Callable[[dict, dict], bo
     pairs = persisted(pairs)
     count = pairs.count()
     dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit("chunk")), F.lit(count // 1000 + 1)))
-    others = dealt.join(data, "rep")
-    anchors = dealt.select("anchor", "chunk").distinct().join(data.withColumnRenamed("rep", "anchor"), "anchor").withColumn("rep", F.col("anchor"))
+    others = dealt.join(shuffled(data), "rep")
+    anchors = dealt.select("anchor", "chunk").distinct().join(shuffled(data.withColumnRenamed("rep", "anchor")), "anchor").withColumn("rep", F.col("anchor"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.to_dict("records")
@@ -314,9 +314,9 @@ def confirmed(pairs: DataFrame, data: DataFrame, test: Callable[[dict, dict], bo
 def by_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Rows (node, rep, tree) with their component so far, without the nodes that hold one alone."""
     known = found.select(F.col("node").alias("rep"), "component")
-    marked = persisted(rows.select("node", "rep", "tree").join(known, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
+    marked = persisted(rows.select("node", "rep", "tree").join(shuffled(known), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"))
     several = marked.groupBy("node").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least < most").select("node")
-    return marked.join(several, "node", "left_semi")
+    return marked.join(shuffled(several), "node", "left_semi")
 
 
 def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
@@ -324,7 +324,7 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: st
     low = low_bytes(classes)
 
     def sets_of(reps: DataFrame) -> DataFrame:
-        wanted = classes.join(reps.distinct(), "rep", "left_semi").select("rep", "doc", "k1", "k2")
+        wanted = classes.join(shuffled(reps.distinct()), "rep", "left_semi").select("rep", "doc", "k1", "k2")
         texts = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text")).filter("text is not null")
 
         def sets(part: dict[str, list], known: dict[bytes, int]) -> dict[str, list]:
@@ -332,7 +332,7 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: st
             return {"rep": [r for r, _ in found], "shingles": [s for _, s in found]}
 
         # An id may stand for several texts, and a row may be repeated.
-        return persisted(map_rows(texts.join(wanted, "doc"), sets, "rep bigint, shingles binary", setup=dict).dropDuplicates(["rep"]))
+        return persisted(map_rows(texts.join(shuffled(wanted), "doc"), sets, "rep bigint, shingles binary", setup=dict).dropDuplicates(["rep"]))
 
     def similar(a: dict, b: dict) -> bool:
         agree = (np.frombuffer(a["low"], np.uint8) == np.frombuffer(b["low"], np.uint8)).sum()
@@ -349,26 +349,26 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: st
         if large.isEmpty():
             break
         anchors = large.groupBy("node").agg(F.min_by("rep", F.xxhash64("rep")).alias("anchor"))
-        pairs = large.join(anchors, "node").filter("rep <> anchor").select("anchor", "rep").distinct()
+        pairs = large.join(shuffled(anchors), "node").filter("rep <> anchor").select("anchor", "rep").distinct()
         near = persisted(confirmed(pairs, low, similar)).select(F.col("u").alias("anchor"), F.col("v").alias("rep"))
         links = links.unionByName(persisted(confirmed(near, sets_of(near.select("rep").unionByName(near.select(F.col("anchor").alias("rep")))), equal_enough)))
         left = by_component(large, connected_components(links))
-        nodes = persisted(branched(left.join(classes.select("rep", "sig"), "rep"), TREES_AGAIN, LEVELS_AGAIN, 2 + round_))
+        nodes = persisted(branched(left.join(shuffled(classes.select("rep", "sig")), "rep"), TREES_AGAIN, LEVELS_AGAIN, 2 + round_))
         kept = persisted(with_size(nodes))
         small, large = small.unionByName(kept.filter(F.col("size") <= LARGE)), kept.filter(F.col("size") > LARGE)
     else:
         small = small.unionByName(in_blocks(large, F.ceil(F.col("size") * 2 / LARGE)))
 
     def still_open(rows: DataFrame, found: DataFrame, seen: DataFrame) -> DataFrame:
-        signed = by_component(rows, found).join(low, "rep").join(seen, "rep", "left")
+        signed = by_component(rows, found).join(shuffled(low), "rep").join(shuffled(seen), "rep", "left")
         groups = grouped(signed, ["node"], SIGNATURES_AT_ONCE, rows.count())
         return persisted(groups.applyInPandas(lambda pdf: open_members(pdf, percent), "node bigint, rep bigint, tree smallint"))
 
     def compared(pool: DataFrame, found: DataFrame) -> DataFrame:
         """Components with the links within the nodes (node, rep) of `pool`, by full sets."""
         many = F.when(F.count("*") > LARGE, F.ceil(F.count("*") * 2 / LARGE)).otherwise(1)
-        heavy = pool.join(classes.select("rep", "n"), "rep").groupBy("node").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES_AT_ONCE), many).alias("blocks"))
-        full = in_blocks(pool.select("node", "rep").join(heavy, "node"), F.col("blocks")).select("node", "rep").join(sets, "rep")
+        heavy = pool.join(shuffled(classes.select("rep", "n")), "rep").groupBy("node").agg(F.greatest(F.ceil(F.sum("n") / SHINGLES_AT_ONCE), many).alias("blocks"))
+        full = in_blocks(pool.select("node", "rep").join(shuffled(heavy), "node"), F.col("blocks")).select("node", "rep").join(shuffled(sets), "rep")
         new = persisted(grouped(full, ["node"], SETS_AT_ONCE, pool.count()).applyInPandas(lambda pdf: node_links(pdf, percent), "u bigint, v bigint"))
         return connected_components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(new))
 
@@ -378,11 +378,11 @@ def linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, doc_id: st
     sets = sets_of(alive.select("rep"))
     # What hangs together by open members is compared once, if its blocks cost no more rows than its nodes do.
     least = alive.groupBy("node").agg(F.min("rep").alias("u"))
-    hanging = persisted(connected_components(alive.join(least, "node").select("u", F.col("rep").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("node")))
+    hanging = persisted(connected_components(alive.join(shuffled(least), "node").select("u", F.col("rep").alias("v"))).select(F.col("node").alias("rep"), F.col("component").alias("node")))
     size = hanging.groupBy("node").agg(F.count("*").alias("size"))
     vast = F.col("size") > COPIES * LARGE // 2
-    found = compared(persisted(hanging.join(size.filter(~vast), "node").select("node", "rep")), found)
-    rest = alive.join(hanging.join(size.filter(vast), "node").select("rep"), "rep", "left_semi")
+    found = compared(persisted(hanging.join(shuffled(size.filter(~vast)), "node").select("node", "rep")), found)
+    rest = alive.join(shuffled(hanging.join(shuffled(size.filter(vast)), "node").select("rep")), "rep", "left_semi")
     if size.filter(vast).isEmpty():
         return found
     rest, met = persisted(rest), None
@@ -413,11 +413,11 @@ def components(df: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_
     classes = persisted(keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
     classes = classes.withColumn("rep", F.monotonically_increasing_id())
     found = linked(df, classes, k, percent, doc_id, text)
-    named = classes.select(F.col("rep").alias("node"), "doc", "k1", "k2").join(found, "node")
+    named = classes.select(F.col("rep").alias("node"), "doc", "k1", "k2").join(shuffled(found), "node")
     least = persisted(named.groupBy("component").agg(F.min("doc").alias("least")))
-    joined = named.join(least, "component").select("k1", "k2", "least")
-    labels = classes.select("k1", "k2", "doc").join(joined, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("least", "doc").alias("component"))
-    out = keyed.select("doc_id", "n_shingles", "k1", "k2").join(labels, ["k1", "k2"])
+    joined = named.join(shuffled(least), "component").select("k1", "k2", "least")
+    labels = classes.select("k1", "k2", "doc").join(shuffled(joined), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("least", "doc").alias("component"))
+    out = keyed.select("doc_id", "n_shingles", "k1", "k2").join(shuffled(labels), ["k1", "k2"])
     alone = rows.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
     out = out.select("doc_id", "n_shingles", "component").unionByName(alone)
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
