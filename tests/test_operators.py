@@ -667,6 +667,10 @@ def test_separation_past_the_driver(spark, monkeypatch):
     assert rows(found) == sorted([("x", *r) for r in plain] + [("y", *r) for r in plain if r[0] % 3 == 0 == r[1] % 3], key=str)
 
 
+def test_interactions_send_no_lines_through_the_driver(spark):
+    assert "Broadcast" not in registry.b.interactions(spark, "/root/testdata/sf0.001", None)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_task_leaves_a_forest_of_its_edges():
     rng = random.Random(6)
     pairs = pd.DataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(400)] + [(90, 91), (91, 92)], columns=["u", "v"])
