@@ -671,6 +671,18 @@ def test_interactions_send_no_lines_through_the_driver(spark):
     assert "Broadcast" not in registry.b.interactions(spark, "/root/testdata/sf0.001", None)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_searches_by_source_sort_no_level(monkeypatch):
+    """A level's ends are marked, and no edge of the last level is looked at: on a complete bipartite network each pair of a side passes the other."""
+    near = [list(range(4, 10))] * 4 + [list(range(4))] * 6
+    want = [15 / 4] * 4 + [6 / 6] * 6
+    looks = []
+    repeat = np.repeat
+    monkeypatch.setattr(kernels.np, "unique", lambda *_: pytest.fail("a level is sorted"))
+    monkeypatch.setattr(kernels.np, "repeat", lambda *given: looks.append(1) or repeat(*given))
+    assert np.allclose(kernels.betweenness(near, np.array([0])) + kernels.betweenness(near, np.arange(1, 10)), want)
+    assert len(looks) == 2 * 2 * 10  # two levels of each source
+
+
 def test_a_task_leaves_a_forest_of_its_edges():
     rng = random.Random(6)
     pairs = pd.DataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(400)] + [(90, 91), (91, 92)], columns=["u", "v"])
